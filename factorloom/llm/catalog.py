@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from factorloom.llm import chat, decontam, fingerprint, packing
+from factorloom.llm import chat, decontam, fingerprint, jaccard, packing, templates, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_query,
         "op2_pack": packing.op2_query,
+        "op3_jaccard_join": jaccard.op3_query,
         "op5_decontaminate": decontam.op5_query,
+        "op6_line_dedup": templates.op6_query,
+        "op9_toxicity": toxicity.op9_query,
         "op10_fingerprint": fingerprint.op10_query,
     }
 
