@@ -2,7 +2,7 @@
 
 Inputs of a word are its own evidence (smoothed log-odds of the training rows), that of
 its character four-grams, and its character composition, weighted by the network.  All
-windows of ``WINDOW`` words, overlapping by half, are scored; a document's logit is that
+windows of ``WINDOW`` words, overlapping by a quarter, are scored; a document's logit is that
 of its worst window.  Evidence counts of a training row leave out that row.
 
 The network and its tables have a fixed size.  It is fitted on at most ``MAX_ROWS``
@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from factorloom.llm.common import ALNUM_SEPARATORS, binary_columns, chunks, lower_ascii, only, read_table, small_batches, word_hashes, word_spans
 
 WINDOW = 32
-STRIDE = 16
+STRIDE = 24
 HIDDEN = 8
 #: Labelled rows that the network is fitted on.
 MAX_ROWS = 5000
 #: Texts of training rows that the driver holds, in bytes.
 MAX_BYTES = 64 << 20
 THRESHOLD = 0.7
-EPOCHS = 6
+EPOCHS = 4
 _BITS = 17
 _SHAPE = 16
 _PRIOR = 4.0
@@ -233,13 +233,20 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
         mask = at < len(index) - 1
         return feats[k][index[np.where(mask, at, len(index) - 1)]], mask
 
-    def all_logits(k: int) -> np.ndarray:
-        starts = windows(len(parsed[k].index))
-        out = []
-        for a in range(0, len(starts), 2048):
-            x, mask = window_inputs(k, starts[a : a + 2048])
-            out.append(net.logits(x @ net.p["Wf"] + net.p["cf"], x @ net.p["Wb"] + net.p["cb"], mask))
-        return np.concatenate(out)
+    def all_logits() -> list[np.ndarray]:
+        """Logits of every window of every row, many windows at a time."""
+        jobs = [(k, windows(len(parsed[k].index))) for k in range(len(y))]
+        out, held, n = [], [], 0
+        for i, (k, starts) in enumerate(jobs):
+            held.append((k, starts))
+            n += len(starts)
+            if n >= 2048 or i == len(jobs) - 1:
+                xs, ms = zip(*(window_inputs(*j) for j in held), strict=True)
+                x, mask = np.concatenate(xs, 1), np.concatenate(ms, 1)
+                logit = net.logits(x @ net.p["Wf"] + net.p["cf"], x @ net.p["Wb"] + net.p["cb"], mask)
+                out += np.split(logit, np.cumsum([len(s) for _, s in held])[:-1])
+                held, n = [], 0
+        return out
 
     def first_guess(k: int) -> np.ndarray:
         """Evidence per window, before the network knows anything."""
@@ -252,8 +259,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     count = 0
     for epoch in range(EPOCHS):
         xs, ms, ts = [], [], []
+        ranks = [first_guess(k) for k in range(len(y))] if epoch < 2 else all_logits()
         for k, label in enumerate(y):
-            rank = first_guess(k) if epoch < 2 else all_logits(k)
+            rank = ranks[k]
             starts = windows(len(parsed[k].index))
             # The worst window speaks for a toxic row; for a clean one, it and a random one.
             pick = [int(rank.argmax())] if label else list({int(rank.argmax()), int(rng.integers(len(starts)))})
@@ -275,7 +283,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
                     net.p[name] -= (0.01 * (m / (1 - 0.9**count)) / (np.sqrt(v / (1 - 0.99**count)) + 1e-6)).astype(np.float32)
-    logit = np.array([all_logits(k).max() for k in range(len(y))], np.float64)
+    logit = np.array([r.max() for r in all_logits()], np.float64)
     # Scale of the document logits, by Newton steps on the log loss with a weak prior.
     theta = np.array([1.0, 0.0])
     z = np.stack([logit, np.ones_like(logit)], 1)
