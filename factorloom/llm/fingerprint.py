@@ -76,12 +76,10 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     rows = docs.withColumn("__block", block)
     heads = rows.groupBy("__block").agg(F.max("doc_id").alias("__head"))
     order = Window.orderBy(F.col("__block").desc())
-    # One row per block: a thousandth of the table.
-    heads = heads.select("__head", "__block", F.lag("__block").over(order).alias("__above"), F.row_number().over(order).alias("__n"))
-    lowest = heads.agg(F.min("__block").alias("__lowest"))
-    heads = heads.crossJoin(F.broadcast(lowest)).select(
-        F.col("__head"), F.col("__block").alias("__hb"), F.when(F.col("__n") == 1, F.col("__lowest")).otherwise(F.col("__above")).alias("__guest")
-    )
+    # One row per block: a thousandth of the table.  The topmost head follows the lowest block.
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    guest = F.coalesce(F.lag("__block").over(order), F.min("__block").over(whole))
+    heads = heads.select("__head", F.col("__block").alias("__hb"), guest.alias("__guest"))
     heads = F.broadcast(heads) if n // BLOCK_ROWS <= BROADCAST_HEADS else heads
     same = rows["__block"].eqNullSafe(heads["__hb"]) & rows["doc_id"].eqNullSafe(heads["__head"])
     dealt = rows.join(heads, same, "left").withColumn(
