@@ -49,7 +49,8 @@ def test_contamination_matches_brute_force(spark, sf_dir):
     items = [(str(a), b) for a, b in duckdb.sql(f"select item_id, text from '{sf_dir}/benchmark.parquet'").fetchall()]
     want = decontam.brute_force(docs, items)
     got = {r.doc_id: r for r in decontam.op5_query(spark, sf_dir).collect()}
-    assert set(got) == set(want) and any(r.contaminated for r in got.values())
+    assert {d: (r.n_words, r.n_hit, r.items_sha256) for d, r in got.items()} == want
+    assert any(r.contaminated for r in got.values()) and all(r.contaminated == (r.n_hit > 0) for r in got.values())
 
 
 def test_packing_holds_every_id_once(spark, sf_dir):
