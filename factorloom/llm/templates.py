@@ -1,15 +1,17 @@
 """Line deduplication by a fixed-depth log-template tree.
 
 A line's way through the tree is its token count, then its leading tokens; digits are
-a variable field from the start.  The rest of the line is cut into ``SEGMENTS`` runs of
-tokens, and each leaf holds the templates in which one run is a variable field.  So two
-lines fall under one template if they differ within one run.  A template that occurs in
-two or more different texts recurs; it stays in the text of the document with the least
-doc_id and its lines go from all others.
-
-Every line sends SEGMENTS hashes (one if it is short); aggregation by template combines
-before the shuffle and keeps a fixed number of fields, so no leaf is ever gathered.
-Templates of very many lines are spread over salts when the lines look them up.
+a variable field from the start, but for a line without letters, which they tell from
+others.  Equal lines are one form.  At each leaf forms are taken in the order of their
+first document: a form that differs from an earlier template's first form in at most
+``allowance`` tokens, wherever they are, falls under that template, any other founds
+one.  A template that occurs in two or more different texts recurs; it stays in the text
+of the document with the least doc_id and its lines go from all others.
+
+Every line sends one hash; aggregation by form combines before the shuffle and keeps a
+fixed number of fields.  Only forms that share their leaf with others are compared, a
+part of a leaf at a time.  Forms of very many lines are spread over salts when the lines
+look them up.
 
 Defined results: exact copies of a text count as one text, and are left to document
 deduplication; null and empty texts have no lines to drop; lines of fewer than
@@ -19,6 +21,8 @@ doc_id is greater than all others; an empty table gives no rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,42 +38,119 @@ VARIABLE_TOKENS = 12
 #: A template with more lines is looked up under salts.
 HOT_LINES = 20_000
 SALTS = 64
+#: Forms of a leaf that are compared by one task at a time.
+PART = 128
+#: Forms that may be broadcast; beyond, they are joined by hash.
+BROADCAST_FORMS = 1_000_000
 
 
 def _row_key(doc: str = "doc_id", text: str = "text"):
     return F.xxhash64(F.lit(7), F.coalesce(F.col(doc), F.lit(-1)), F.col(doc).isNull(), F.col(text))
 
 
-def _templates(docs: DataFrame) -> DataFrame:
-    """row, doc_id, body (hash of the text), line (position), h: the template hashes of every line."""
+def allowance(n: int) -> int:
+    """Variable tokens of a template of ``n`` tokens: a third of those after the leading ones."""
+    return -(-(n - DEPTH) // SEGMENTS) if n >= VARIABLE_TOKENS else 0
+
+
+def _tokens(docs: DataFrame) -> DataFrame:
+    """row, doc_id, body (hash of the text), line (position), n, t (tokens), h (form), leaf of every line."""
     lines = docs.where("text is not null").select(
         _row_key().alias("row"), "doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("line", "s")
     )
     # Single passes over the characters: no pattern here can backtrack on a long token.
-    plain = F.regexp_replace(F.lower("s"), "[0-9]+", "0")
+    plain = F.when(F.col("s").rlike("\\p{L}"), F.regexp_replace(F.lower("s"), "[0-9]+", "0")).otherwise(F.col("s"))
     tokens = F.expr("filter(split(plain, '[\\\\x09-\\\\x0D ]+'), t -> t <> '')")
     lines = lines.withColumn("plain", plain).withColumn("t", tokens).withColumn("n", F.size("t")).where(F.col("n") >= MIN_TOKENS)
-    run = f"cast(ceil((n - {DEPTH}) / {SEGMENTS}.0) as int)"
-    holes = ", ".join(
-        f"xxhash64(n, {k}, slice(t, 1, {DEPTH} + {k} * {run}), slice(t, {DEPTH + 1} + {k + 1} * {run}, n))" for k in range(SEGMENTS)
+    lead = ", ".join(f"get(t, {k})" for k in range(DEPTH))
+    return lines.withColumn("h", F.expr("xxhash64(n, t)")).withColumn("leaf", F.expr(f"xxhash64(n, {lead})")).drop("s", "plain")
+
+
+def _founders(t: np.ndarray) -> np.ndarray:
+    """For each row of ``t`` (forms of one leaf, in order) the row that founds its template."""
+    allowed, out = allowance(t.shape[1]), np.full(len(t), -1)
+    left = np.arange(len(t))
+    while len(left):
+        near = (t[left] != t[left[0]]).sum(1) <= allowed
+        out[left[near]] = left[0]
+        left = left[~near]
+    return out
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    t = table.column("t").combine_chunks()
+    return t.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+
+
+_FORM = "leaf long, h long, d long, b long, keeper long, t array<long>"
+_ORDER = [(c, "ascending") for c in ("d", "b", "keeper", "h")]
+
+
+def _found(table: pa.Table) -> pa.Table:
+    table = table.select([c.split()[0] for c in _FORM.split(", ")]).sort_by(_ORDER)
+    return table.take(pa.array(np.unique(_founders(_matrix(table)))))
+
+
+def _assign(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Each form of a part with the keeper of the first template of the leaf that it falls under, or null."""
+    left, right = left.sort_by(_ORDER), right.sort_by(_ORDER)
+    keeper = np.zeros(len(left), np.int64)
+    ok = np.zeros(len(left), bool)
+    if len(left) and len(right):
+        x, allowed = _matrix(left), None
+        allowed = allowance(x.shape[1])
+        for first, k in zip(_matrix(right), right.column("keeper").to_pylist(), strict=True):
+            near = ~ok & ((x != first).sum(1) <= allowed)
+            keeper[near], ok = k, ok | near
+            if ok.all():
+                break
+    return pa.table({"h": left.column("h"), "to": pa.array(keeper, mask=~ok)})
+
+
+def _merged(forms: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """h, to (keeper of its template) of the forms whose leaf has others."""
+    sizes = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1")
+    pool = written(forms.join(sizes, "leaf").select("leaf", "h", "d", "b", "keeper"), "pool")
+    n_pool = pool.count()
+    if not n_pool:
+        return None
+    side = F.broadcast(pool) if n_pool <= BROADCAST_FORMS else pool
+    texts = _tokens(docs).select("h", F.expr("transform(t, x -> xxhash64(x))").alias("t"))
+    texts = texts.join(side.select("h"), "h", "left_semi").dropDuplicates(["h"])
+    pool = written(pool.join(texts, "h"), "pool")
+    done = None
+    # A round settles every leaf of one part, and of larger leaves all forms that are near a founder of this round.
+    while n_pool:
+        sizes = pool.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PART))).alias("parts"))
+        dealt = pool.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("h", F.lit(11)), F.col("parts"))).drop("parts")
+        heads = dealt.groupBy("leaf", "part").applyInArrow(_found, _FORM)
+        heads = written(heads.groupBy("leaf").applyInArrow(_found, _FORM), "heads")
+        spread = heads.join(sizes, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        placed = dealt.groupBy("leaf", "part").cogroup(spread.groupBy("leaf", "part")).applyInArrow(_assign, "h long, to long")
+        placed = written(placed, "placed")
+        done = placed.where("to is not null") if done is None else done.unionByName(placed.where("to is not null"))
+        pool = pool.join(placed.where("to is null").select("h"), "h", "left_semi")
+        n_pool = placed.where("to is null").count()
+    return done
+
+
+def recurring(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """h, keeper (the text that keeps it), n_lines of forms whose template is found in different texts."""
+    least = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("body").alias("b"), F.col("body").alias("keeper"))
+    forms = lines.groupBy("h", "leaf").agg(
+        F.min("body").alias("r0"), F.max("body").alias("r1"), F.min(least).alias("k"), F.count(F.lit(1)).alias("n_lines")
     )
-    lines = lines.withColumn("hs", F.expr(f"case when n >= {VARIABLE_TOKENS} then array({holes}) else array(xxhash64(n, t)) end"))
-    return lines.select("row", "doc_id", "body", "line", F.explode("hs").alias("h"))
-
-
-def recurring(lines: DataFrame) -> DataFrame:
-    """h, keeper (the text that keeps it), n_lines of templates found in different texts."""
-    least = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("body").alias("b"))
-    found = lines.groupBy("h").agg(
-        F.min("body").alias("b0"), F.max("body").alias("b1"), F.min(least).alias("k"), F.count(F.lit(1)).alias("n_lines")
-    )
-    return found.where("b0 <> b1").select("h", F.col("k.b").alias("keeper"), "n_lines")
+    forms = written(forms.select("h", "leaf", "r0", "r1", "k.*", "n_lines"), "forms")
+    merged = _merged(forms, docs)
+    forms = forms.withColumn("to", F.col("keeper")) if merged is None else forms.join(merged, "h", "left")
+    to = F.coalesce("to", "keeper")
+    return forms.where((F.col("r0") != F.col("r1")) | (to != F.col("keeper"))).select("h", to.alias("keeper"), "n_lines")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """row, drop (sorted positions) of the rows that lose lines."""
-    lines = _templates(docs)
-    found = written(recurring(lines), "templates")
+    lines = written(_tokens(docs).select("row", "doc_id", "body", "line", "h", "leaf"), "lines")
+    found = written(recurring(lines, docs), "templates")
     # At most one in HOT_LINES of all lines is such a template's hash: spread over all tasks by salt.
     hot = found.where(F.col("n_lines") > HOT_LINES).select("h", F.lit(True).alias("hot"))
     n_hot = hot.count()
@@ -126,20 +207,28 @@ def brute_force(docs: list[tuple]) -> dict:
     """Reference of the tests: doc_id -> kept text, for distinct doc_ids."""
     import re
 
-    def keys(line: str) -> list:
-        t = [w for w in re.split("[\t-\r ]+", re.sub("[0-9]+", "0", line.lower())) if w]
-        n = len(t)
-        if n < MIN_TOKENS:
-            return []
-        if n < VARIABLE_TOKENS:
-            return [(n, tuple(t))]
-        run = -(-(n - DEPTH) // SEGMENTS)
-        return [(n, k, tuple(t[: DEPTH + k * run]), tuple(t[DEPTH + (k + 1) * run :])) for k in range(SEGMENTS)]
-
-    texts: dict = {}
+    def tokens(line: str) -> list:
+        if any(c.isalpha() for c in line):
+            line = re.sub("[0-9]+", "0", line.lower())
+        t = [w for w in re.split("[\t-\r ]+", line) if w]
+        return t if len(t) >= MIN_TOKENS else []
+
+    leaves: dict = {}
+    firsts: dict = {}
+    where: dict = {}
     for doc, text in sorted((d for d in docs if d[1] is not None), key=lambda d: d[0]):
         for line in text.split("\n"):
-            for k in keys(line):
-                texts.setdefault(k, []).append(text)
-    gone = lambda line, text: any(len(set(texts[k])) > 1 and texts[k][0] != text for k in keys(line))
+            if t := tuple(tokens(line)):
+                firsts.setdefault(t, text)
+                where.setdefault(t, set()).add(text)
+    for t in firsts:
+        leaf = leaves.setdefault((len(t), t[:DEPTH]), [])
+        for group in leaf:
+            if sum(a != b for a, b in zip(group[0], t, strict=True)) <= allowance(len(t)):
+                group.append(t)
+                break
+        else:
+            leaf.append([t])
+    keeper = {t: firsts[g[0]] for leaf in leaves.values() for g in leaf for t in g if len(set.union(*(where[x] for x in g))) > 1}
+    gone = lambda line, text: keeper.get(tuple(tokens(line)), text) != text
     return {d: None if t is None else "\n".join(x for x in t.split("\n") if not gone(x, t)) for d, t in docs}

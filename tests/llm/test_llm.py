@@ -155,3 +155,30 @@ def test_empty_tables(spark):
     assert sitetree.extract(pages).count() == 0
     assert lmscore.score(none, none.select("text")).count() == 0
     assert packing.pack_documents(none, packing.tokenizer_path()).count() == 0
+
+
+def edited_lines(n=12, words=40):
+    """Rows whose one line differs from the first's in two far words each, and one line unlike them."""
+    rng = random.Random(5)
+    base = [rng.choice("abcdefghij") + f"x{chr(97 + i % 26)}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        w[4], w[words - 3] = f"{chr(97 + i)}left", f"{chr(97 + i)}right"
+        rows.append((i, " ".join(w)))
+    return rows + [(n, " ".join(base[:2] + [x + "q" for x in base[2:]]))]
+
+
+@pytest.mark.parametrize("part", [128, 2])
+def test_line_templates_vary_at_any_position(spark, monkeypatch, part):
+    monkeypatch.setattr(templates, "PART", part)
+    rows = edited_lines()
+    got = {r.doc_id: r.text for r in templates.drop_templates(frame(spark, rows)).collect()}
+    assert got == templates.brute_force(rows)
+    assert got == {d: t if d in (0, 12) else "" for d, t in rows}
+
+
+def test_lines_without_letters_keep_their_digits(spark):
+    rows = [(i, f"{i} {i + 1} 3 4 5 6 7") for i in range(4)]
+    got = {r.doc_id: r.text for r in templates.drop_templates(frame(spark, rows)).collect()}
+    assert got == dict(rows)
