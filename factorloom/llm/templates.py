@@ -14,9 +14,9 @@ part of a leaf at a time.  Forms of very many lines are spread over salts when t
 look them up.
 
 Defined results: exact copies of a text count as one text, and are left to document
-deduplication; null and empty texts have no lines to drop; lines of fewer than
-``min_tokens`` tokens are structure and stay; repeats within one document stay; a null
-doc_id is greater than all others; an empty table gives no rows.
+deduplication; null and empty texts have no lines to drop; blank lines are
+structure and stay; repeats within one document stay; a null doc_id is greater than all
+others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,9 +31,7 @@ from factorloom.llm.common import only, read_table, written
 #: Tokens at the head of a line that are part of its way through the tree.
 DEPTH = 2
 SEGMENTS = 3
-#: Shorter lines are never templates.
-MIN_TOKENS = 6
-#: Lines with this many tokens or more have variable runs.
+#: Lines with this many tokens or more vary by a third of their later tokens, shorter ones by a fifth of all.
 VARIABLE_TOKENS = 12
 #: A template with more lines is looked up under salts.
 HOT_LINES = 20_000
@@ -49,8 +47,8 @@ def _row_key(doc: str = "doc_id", text: str = "text"):
 
 
 def allowance(n: int) -> int:
-    """Variable tokens of a template of ``n`` tokens: a third of those after the leading ones."""
-    return -(-(n - DEPTH) // SEGMENTS) if n >= VARIABLE_TOKENS else 0
+    """Most variable tokens of a template of ``n`` tokens; under five tokens there is none."""
+    return -(-(n - DEPTH) // SEGMENTS) if n >= VARIABLE_TOKENS else n // 5
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
@@ -61,7 +59,7 @@ def _tokens(docs: DataFrame) -> DataFrame:
     # Single passes over the characters: no pattern here can backtrack on a long token.
     plain = F.when(F.col("s").rlike("\\p{L}"), F.regexp_replace(F.lower("s"), "[0-9]+", "0")).otherwise(F.col("s"))
     tokens = F.expr("filter(split(plain, '[\\\\x09-\\\\x0D ]+'), t -> t <> '')")
-    lines = lines.withColumn("plain", plain).withColumn("t", tokens).withColumn("n", F.size("t")).where(F.col("n") >= MIN_TOKENS)
+    lines = lines.withColumn("plain", plain).withColumn("t", tokens).withColumn("n", F.size("t")).where("n > 0")
     lead = ", ".join(f"get(t, {k})" for k in range(DEPTH))
     return lines.withColumn("h", F.expr("xxhash64(n, t)")).withColumn("leaf", F.expr(f"xxhash64(n, {lead})")).drop("s", "plain")
 
@@ -210,8 +208,7 @@ def brute_force(docs: list[tuple]) -> dict:
     def tokens(line: str) -> list:
         if any(c.isalpha() for c in line):
             line = re.sub("[0-9]+", "0", line.lower())
-        t = [w for w in re.split("[\t-\r ]+", line) if w]
-        return t if len(t) >= MIN_TOKENS else []
+        return [w for w in re.split("[\t-\r ]+", line) if w]
 
     leaves: dict = {}
     firsts: dict = {}

@@ -182,3 +182,11 @@ def test_lines_without_letters_keep_their_digits(spark):
     rows = [(i, f"{i} {i + 1} 3 4 5 6 7") for i in range(4)]
     got = {r.doc_id: r.text for r in templates.drop_templates(frame(spark, rows)).collect()}
     assert got == dict(rows)
+
+
+def test_short_lines_are_templates(spark):
+    heads = ["All rights reserved.", "ok", "one two three four five six seven"]
+    rows = [(i, "\n".join([f"own text {chr(97 + i) * 3}", "", *heads, f"see page and {chr(97 + i)} for the rest"])) for i in range(4)]
+    got = {r.doc_id: r.text for r in templates.drop_templates(frame(spark, rows)).collect()}
+    assert got == templates.brute_force(rows)
+    assert got == {d: t if d == 0 else f"own text {chr(97 + d) * 3}\n" for d, t in rows}
