@@ -5,18 +5,17 @@ a variable field from the start, but for a line without letters, which they tell
 others.  Equal lines are one form.  At each leaf forms are taken in the order of their
 first document: a form that differs from an earlier template's first form in at most
 ``allowance`` tokens, wherever they are, falls under that template, any other founds
-one.  A template that occurs in two or more different texts recurs; it stays in the text
-of the document with the least doc_id and its lines go from all others.
+one.  A template that occurs in two or more rows recurs; it stays in the row with the least
+doc_id (then text) and its lines go from all others, exact copies of that row included.
 
 Every line sends one hash; aggregation by form combines before the shuffle and keeps a
 fixed number of fields.  Only forms that share their leaf with others are compared, a
 part of a leaf at a time.  Forms of very many lines are spread over salts when the lines
 look them up.
 
-Defined results: exact copies of a text count as one text, and are left to document
-deduplication; null and empty texts have no lines to drop; blank lines are
-structure and stay; repeats within one document stay; a null doc_id is greater than all
-others; an empty table gives no rows.
+Defined results: of rows equal in doc_id and text any one is the first; null and empty
+texts have no lines to drop; blank lines are structure and stay; repeats within one row
+stay; a null doc_id is greater than all others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import only, read_table, written
+from factorloom.llm.common import read_table, written
 
 #: Tokens at the head of a line that are part of its way through the tree.
 DEPTH = 2
@@ -42,19 +41,15 @@ PART = 128
 BROADCAST_FORMS = 1_000_000
 
 
-def _row_key(doc: str = "doc_id", text: str = "text"):
-    return F.xxhash64(F.lit(7), F.coalesce(F.col(doc), F.lit(-1)), F.col(doc).isNull(), F.col(text))
-
-
 def allowance(n: int) -> int:
     """Most variable tokens of a template of ``n`` tokens; under five tokens there is none."""
     return -(-(n - DEPTH) // SEGMENTS) if n >= VARIABLE_TOKENS else n // 5
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
-    """row, doc_id, body (hash of the text), line (position), n, t (tokens), h (form), leaf of every line."""
+    """row, doc_id, body (hash of the text), line (position), n, t (tokens), h (form), leaf of every line of (row, doc_id, text)."""
     lines = docs.where("text is not null").select(
-        _row_key().alias("row"), "doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("line", "s")
+        "row", "doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("line", "s")
     )
     # Single passes over the characters: no pattern here can backtrack on a long token.
     plain = F.when(F.col("s").rlike("\\p{L}"), F.regexp_replace(F.lower("s"), "[0-9]+", "0")).otherwise(F.col("s"))
@@ -133,10 +128,10 @@ def _merged(forms: DataFrame, docs: DataFrame) -> DataFrame | None:
 
 
 def recurring(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """h, keeper (the text that keeps it), n_lines of forms whose template is found in different texts."""
-    least = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("body").alias("b"), F.col("body").alias("keeper"))
+    """h, keeper (the row that keeps it), n_lines of forms whose template is found in different rows."""
+    least = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("body").alias("b"), F.col("row").alias("keeper"))
     forms = lines.groupBy("h", "leaf").agg(
-        F.min("body").alias("r0"), F.max("body").alias("r1"), F.min(least).alias("k"), F.count(F.lit(1)).alias("n_lines")
+        F.min("row").alias("r0"), F.max("row").alias("r1"), F.min(least).alias("k"), F.count(F.lit(1)).alias("n_lines")
     )
     forms = written(forms.select("h", "leaf", "r0", "r1", "k.*", "n_lines"), "forms")
     merged = _merged(forms, docs)
@@ -162,16 +157,18 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         pairs = lines.join(found.withColumn("salt", F.explode(spread)), ["h", "salt"])
     else:
         pairs = lines.join(found, "h")
-    lost = pairs.where("body <> keeper").groupBy("row", "line").agg(F.lit(1).alias("x"))
+    lost = pairs.where("row <> keeper").groupBy("row", "line").agg(F.lit(1).alias("x"))
     return lost.groupBy("row").agg(F.array_sort(F.collect_list("line")).alias("drop"))
 
 
 def drop_templates(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with ``text`` without its dropped lines, and n_lines, n_dropped."""
     columns = docs.columns
-    rows = docs.select(F.struct("*").alias("r"), F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
-    lost = written(dropped_lines(only(docs, doc_id="long", text="string")), "lost-lines")
-    joined = rows.withColumn("row", _row_key()).join(lost, "row", "left").withColumn("ls", F.split("text", "\n"))
+    # Rows are numbered once: copies of a row are told apart by it.
+    rows = written(docs.select(F.struct("*").alias("r"), F.monotonically_increasing_id().alias("row")), "rows")
+    rows = rows.select("r", "row", F.col("r.`doc_id`").cast("long").alias("doc_id"), F.col("r.`text`").cast("string").alias("text"))
+    lost = written(dropped_lines(rows.drop("r")), "lost-lines")
+    joined = rows.join(lost, "row", "left").withColumn("ls", F.split("text", "\n"))
     left = F.expr("array_join(filter(ls, (s, i) -> not array_contains(drop, i)), '\n')")
     joined = joined.withColumn("new", F.when(F.col("drop").isNull(), F.col("text")).otherwise(left))
     return joined.select(
@@ -216,8 +213,8 @@ def brute_force(docs: list[tuple]) -> dict:
     for doc, text in sorted((d for d in docs if d[1] is not None), key=lambda d: d[0]):
         for line in text.split("\n"):
             if t := tuple(tokens(line)):
-                firsts.setdefault(t, text)
-                where.setdefault(t, set()).add(text)
+                firsts.setdefault(t, doc)
+                where.setdefault(t, set()).add(doc)
     for t in firsts:
         leaf = leaves.setdefault((len(t), t[:DEPTH]), [])
         for group in leaf:
@@ -227,5 +224,5 @@ def brute_force(docs: list[tuple]) -> dict:
         else:
             leaf.append([t])
     keeper = {t: firsts[g[0]] for leaf in leaves.values() for g in leaf for t in g if len(set.union(*(where[x] for x in g))) > 1}
-    gone = lambda line, text: keeper.get(tuple(tokens(line)), text) != text
-    return {d: None if t is None else "\n".join(x for x in t.split("\n") if not gone(x, t)) for d, t in docs}
+    gone = lambda line, doc: keeper.get(tuple(tokens(line)), doc) != doc
+    return {d: None if t is None else "\n".join(x for x in t.split("\n") if not gone(x, d)) for d, t in docs}

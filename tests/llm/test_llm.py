@@ -190,3 +190,10 @@ def test_short_lines_are_templates(spark):
     got = {r.doc_id: r.text for r in templates.drop_templates(frame(spark, rows)).collect()}
     assert got == templates.brute_force(rows)
     assert got == {d: t if d == 0 else f"own text {chr(97 + d) * 3}\n" for d, t in rows}
+
+
+def test_exact_copies_lose_their_lines(spark):
+    text = "a passage that every copy has\nand one more line of it"
+    rows = [(3, text), (1, text), (2, text), (None, text), (None, text), (None, "only here"), (7, "x"), (7, "x")]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in templates.drop_templates(frame(spark, rows)).collect())
+    assert got == [(-1, ""), (-1, ""), (-1, "only here"), (1, text), (2, ""), (3, ""), (7, ""), (7, "x")]
