@@ -382,11 +382,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents with one of each component: that with the smallest doc_id."""
-    found = near_duplicates(docs, percent)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """The rows with one of each component: that with the smallest doc_id (nulls last), then text.
+
+    Rows without words are copies of each other if their doc_id and text are equal.
+    """
+    # Rows are numbered once, so that neither null nor repeated ids tie rows together.
+    rows = written(docs.select(F.struct("*").alias("r"), F.monotonically_increasing_id().alias("row")), "rows")
+    src = rows.select(F.col("row").alias("doc_id"), F.col("r.`text`").cast("string").alias("text"))
+    found = near_duplicates(src, percent).select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
+    ids = rows.select("row", F.col("r.`doc_id`").cast("long").alias("id"), F.xxhash64(F.col("r.`text`").cast("string")).alias("body"), F.col("r.`text`").isNull().alias("none"))
+    ids = ids.join(found, "row")
+    wordless = F.col("n_shingles") == 0
+    group = (F.when(wordless, F.col("id")), F.when(wordless, F.col("body")), F.when(wordless, F.col("none")), F.when(~wordless, F.col("component_id")))
+    first = F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)), F.col("body"), F.col("row"))).alias("first")
+    kept = ids.groupBy(*(g.alias(f"g{k}") for k, g in enumerate(group))).agg(first).select(F.col("first.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*(F.col(f"r.`{c}`").alias(c) for c in docs.columns))
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:

@@ -197,3 +197,12 @@ def test_exact_copies_lose_their_lines(spark):
     rows = [(3, text), (1, text), (2, text), (None, text), (None, text), (None, "only here"), (7, "x"), (7, "x")]
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in templates.drop_templates(frame(spark, rows)).collect())
     assert got == [(-1, ""), (-1, ""), (-1, "only here"), (1, text), (2, ""), (3, ""), (7, ""), (7, "x")]
+
+
+def test_one_row_of_each_component_is_kept(spark):
+    words = lambda c: " ".join(f"{c}{chr(97 + i)}" for i in range(20))
+    rows = [(None, words("a")), (None, words("b")), (None, words("c")), (4, words("c")), (5, words("d")), (5, words("e")), (6, words("e"))]
+    rows += [(None, None), (None, None), (7, ""), (8, "")]
+    got = [(r.doc_id, r.text) for r in jaccard.keep_one(frame(spark, rows)).collect()]
+    want = [rows[i] for i in (0, 1, 3, 4, 5, 7, 9, 10)]
+    assert sorted(got, key=str) == sorted(want, key=str)
