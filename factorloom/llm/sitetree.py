@@ -1,11 +1,14 @@
 """Main text of web pages by a site style tree.
 
 The DOMs of a host are merged: a node is the path of structural elements with their
-classes.  The importance of a node without a known role is the entropy of its content
-over the host's distinct pages, relative to the greatest possible: text that every page
-repeats has 0, text that no two pages share has 1.  Presentation sets the importance of
-nodes with a role: 0 for navigation, adverts, notices, forms, footers and comments, 1 for
-article bodies.  Branches under ``LOW`` are cut from each page; the rest is its text.
+classes.  The importance of every node is the entropy of its content over the host's
+distinct pages, relative to the greatest possible (text that every page repeats has 0,
+text that no two pages share has 1), and to a tenth that of its presentation, the layout
+of the blocks beside it.  A role is a prior: 0 for navigation, adverts, notices, forms and
+footers, 1 for article bodies.  Nodes under ``LOW`` are cut from each page; the rest is
+its text.  Adverts and comments may be unique as well, so entropy cannot tell them from
+an article: comments always go, and other nodes of role 0 outside an article go unless
+the page would have no text without them.  An article that would go whole stays.
 
 Statistics are counted by (host, node, content, page) and combined before the shuffle, so
 that a host with a third of all pages meets no task whole.
@@ -29,7 +32,11 @@ from factorloom.llm.common import only, read_table, small_batches, written
 
 LOW = 0.3
 MIN_PAGES = 4
-#: Low nodes that may be broadcast; beyond, they are joined by host.
+#: Share of content in a node's importance; the rest is presentation.
+CONTENT = 0.9
+#: Weights of the priors against a host's evidence: of role 1, and of role 0.
+MAIN_PRIOR, LOW_PRIOR = 0.25, 1.0
+#: Judged nodes that may be broadcast; beyond, they are joined by host.
 BROADCAST_NODES = 100_000
 
 _PIECE = re.compile(
@@ -52,6 +59,7 @@ LOW_WORDS = frozenset(
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related "
     "recommended replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+COMMENT_WORDS = frozenset("comment comments disqus replies reply respond".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -141,49 +149,84 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _inside(path: str) -> bool:
+    return any(x.split(".", 1)[0] in MAIN_TAGS for x in path.split("/"))
+
+
+def _comment(path: str) -> bool:
+    return bool(COMMENT_WORDS & {w for x in path.split("/") for n in x.split(".")[1:] for w in _SPLIT.split(n.lower())})
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, node, n_pages, importance of nodes without a role."""
+    """host, node, n_pages, importance of all nodes."""
 
     def run(batches):
         for b in batches:
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[], [], [], [], []]
             for url, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen: dict[str, list[str]] = {}
-                for path, role, block in blocks(text or ""):
-                    if role is None:
-                        seen.setdefault(path, []).append(block)
+                layout: dict[str, list[str]] = {}
+                for path, _, block in blocks(text or ""):
+                    seen.setdefault(path, []).append(block)
+                    layout.setdefault(path.rpartition("/")[0], []).append(path)
                 page = _hash(text or "")
                 for path, parts in seen.items():
-                    for c, v in zip(cols, (_host(url), _hash(path), _hash(" ".join(parts)), page), strict=True):
+                    look = _hash(" ".join(layout[path.rpartition("/")[0]]))
+                    for c, v in zip(cols, (_host(url), _hash(path), _hash(" ".join(parts)), look, page), strict=True):
                         c.append(v)
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "node", "content", "page"])
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            names = ["host", "node", "content", "look", "page"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     # Equal pages count once.
-    each = pages.select("url", "html").mapInArrow(run, "host string, node long, content long, page long").distinct()
-    counts = each.groupBy("host", "node", "content").agg(F.count(F.lit(1)).alias("n"))
-    nodes = counts.groupBy("host", "node").agg(F.sum("n").alias("n_pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    schema = "host string, node long, content long, look long, page long"
+    each = pages.select("url", "html").mapInArrow(run, schema).distinct()
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("v")), F.struct(F.lit(1).alias("kind"), F.col("look").alias("v"))))
+    counts = each.select("host", "node", kinds.alias("x")).groupBy("host", "node", "x.kind", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n") * F.log("n")).otherwise(0.0))
+    n_pages = F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0))
+    nodes = counts.groupBy("host", "node").agg(n_pages.alias("n_pages"), of(0).alias("s"), of(1).alias("p"))
     most = F.log("n_pages")
-    return nodes.select("host", "node", "n_pages", F.when(F.col("n_pages") > 1, (most - F.col("s") / F.col("n_pages")) / most).otherwise(1.0).alias("importance"))
+    entropy = lambda c: (most - F.col(c) / F.col("n_pages")) / most
+    mixed = F.lit(CONTENT) * entropy("s") + F.lit(1 - CONTENT) * entropy("p")
+    return nodes.select("host", "node", "n_pages", F.when(F.col("n_pages") > 1, mixed).otherwise(1.0).alias("importance"))
+
+
+def main_text(source: str, known: dict[int, float]) -> str:
+    """The text of a page; ``known`` has the importance of its host's nodes."""
+    kept, article, rest = [], [], []
+    for path, role, text in blocks(source):
+        e = known.get(_hash(path))
+        inside = _inside(path)
+        if role == 0 and (_comment(path) or e is None):
+            continue
+        if role == 0:
+            if (e / (1 + LOW_PRIOR)) >= LOW:
+                (kept if inside else rest).append(text)
+            continue
+        if inside:
+            article.append(text)
+        if e is None or (e if role is None else (e + MAIN_PRIOR) / (1 + MAIN_PRIOR)) >= LOW:
+            kept.append(text)
+    return " ".join(kept or article or rest)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page."""
     src = only(pages, page_id="long", url="string", html="string")
     small_batches(src.sparkSession, 128)
-    low = written(style_tree(src).where((F.col("n_pages") >= MIN_PAGES) & (F.col("importance") < LOW)).select("host", "node"), "low-nodes")
-    per_host = low.groupBy("host").agg(F.collect_set("node").alias("low"))
-    n_low = low.count()
+    judged = written(style_tree(src).where(F.col("n_pages") >= MIN_PAGES).select("host", "node", "importance"), "nodes")
+    per_host = judged.groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("known"))
+    n_nodes = judged.count()
     name = F.lower(F.regexp_extract("url", r"^(?:[^/?#]*?://)?(?:[^/?#@]*@)?([^/?#]*)", 1))
-    side = F.broadcast(per_host) if n_low <= BROADCAST_NODES else per_host
-    rows = src.withColumn("h", name).join(side.withColumnRenamed("host", "h2"), F.col("h").eqNullSafe(F.col("h2")), "left").select("page_id", "url", "html", "low")
+    side = F.broadcast(per_host) if n_nodes <= BROADCAST_NODES else per_host
+    rows = src.withColumn("h", name).join(side.withColumnRenamed("host", "h2"), F.col("h").eqNullSafe(F.col("h2")), "left").select("page_id", "url", "html", "known")
 
     def run(batches):
         for b in batches:
             texts = []
-            for source, low_nodes in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                cut = set(low_nodes or ())
-                texts.append(" ".join(t for path, role, t in blocks(source or "") if role == 1 or (role is None and not (cut and _hash(path) in cut))))
+            for source, nodes in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                texts.append(main_text(source or "", {x["node"]: x["importance"] for x in nodes or ()}))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string")

@@ -206,3 +206,17 @@ def test_one_row_of_each_component_is_kept(spark):
     got = [(r.doc_id, r.text) for r in jaccard.keep_one(frame(spark, rows)).collect()]
     want = [rows[i] for i in (0, 1, 3, 4, 5, 7, 9, 10)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_entropy_decides_inside_articles(spark):
+    """Boilerplate of an article goes and its own text under a low class stays; equal articles are not emptied."""
+    page = lambda i: (
+        f"<nav>menu</nav><div class=ad>unique advert {i}</div><article><p>own text {i}</p><div class=notice>own notice {i}</div>"
+        f"<div class=block>Read this first</div><section class=related>Same list</section></article><section id=comments>unique {i}</section>"
+    )
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(8)]
+    rows += [(100 + i, f"http://g/{i}", f"<nav>{i}</nav><article><p>The one article</p></article>") for i in range(8)]
+    rows += [(200 + i, f"http://f/{i}", f"<nav>menu</nav><div class=header>only text {i}</div>") for i in range(8)]
+    got = {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"own text {i} own notice {i}" for i in range(8)}
+    assert got == want | {100 + i: "The one article" for i in range(8)} | {200 + i: f"only text {i}" for i in range(8)}
