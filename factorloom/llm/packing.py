@@ -1,11 +1,11 @@
 """Bounded-space online packing of tokenised documents into fixed windows.
 
 Each partition keeps ``open_windows`` windows.  A piece goes best-fit into the open
-window it leaves the least room in.  When none fits, the fullest is emitted: as it is if
-it lacks fewer than ``SLACK`` tokens, else topped up with the piece's head (pieces may be
-cut anywhere).  At the end a partition merges its own open windows in the same way,
-without slack, which leaves at most one unfilled window; those are merged over groups of
-partitions.  Memory: the open windows and one Arrow batch.
+window it leaves the least room in.  When none fits, the fullest is emitted, topped up
+with the piece's head (pieces may be cut anywhere), so that no window is padded.  At the
+end a partition merges its own open windows in the same way, which leaves at most one
+unfilled window; those are merged over groups of partitions.  Memory: the open windows
+and one Arrow batch.
 
 Stage one is written to the shared folder before its rows are split into emitted
 pieces and leftovers, so a rerun after a lost executor cannot mix two runs.
@@ -29,8 +29,6 @@ from factorloom.llm.common import CHUNK_BYTES, binary_columns, only, read_table,
 
 WINDOW = 2048
 OPEN_WINDOWS = 32
-#: A window that lacks fewer tokens is emitted as it is when no open window fits: its padding is less than a hundredth.
-SLACK = 16
 END_ID = 1
 #: Units kept by a worker's cache of token ids; it starts afresh beyond.
 CACHE_UNITS = 1_000_000
@@ -209,7 +207,7 @@ class Packer:
     """The open windows of one partition; a piece is (doc_id, start, ids, doc_tokens)."""
 
     def __init__(self, window: int, open_windows: int, emit):
-        self.window, self.limit, self.emit, self.slack = window, open_windows, emit, min(SLACK, window // 128)
+        self.window, self.limit, self.emit = window, open_windows, emit
         self.room: list[tuple[int, int]] = []  # (room left, window key), sorted
         self.held: dict[int, list] = {}
         self.key = 0
@@ -237,17 +235,13 @@ class Packer:
             self._put(self.key, self.window, (doc, start, ids, total))
         else:
             room, key = self.room.pop(0)
-            if room < self.slack:
-                self.emit(self.held.pop(key))
-                self.add(doc, start, ids, total)
-                return
             self._put(key, room, (doc, start, ids[:room], total))
             self.add(doc, start + room, ids[room:], total)
 
     def close(self) -> list:
         """Merge what is open, fullest first; the pieces of the one window left unfilled."""
         pieces = [p for _, key in self.room for p in self.held.pop(key)]
-        self.room, self.limit, self.slack = [], 1, 0
+        self.room, self.limit = [], 1
         for p in pieces:
             self.add(*p)
         return [p for _, key in self.room for p in self.held.pop(key)]
