@@ -1,21 +1,24 @@
 """Line deduplication by a fixed-depth log-template tree.
 
-A line's way through the tree is its token count, then its leading tokens; digits are
+A line's way through the tree is its token count, then its leading tokens; runs of digits are
 a variable field from the start, but for a line without letters, which they tell from
-others.  Equal lines are one form.  At each leaf forms are taken in the order of their
-first document: a form that differs from an earlier template's first form in at most
+others (a letter is an ASCII one, whose case is folded, or any character beyond ASCII).
+Equal lines are one form.  At each leaf forms are taken in the order of their least
+doc_id: a form that differs from an earlier template's first form in at most
 ``allowance`` tokens, wherever they are, falls under that template, any other founds
 one.  A template that occurs in two or more rows recurs; it stays in the row with the least
-doc_id (then text) and its lines go from all others, exact copies of that row included.
+doc_id (then hash of the text) and its lines go from all others, exact copies of that row
+included.
 
-Every line sends one hash; aggregation by form combines before the shuffle and keeps a
-fixed number of fields.  Only forms that share their leaf with others are compared, a
-part of a leaf at a time.  Forms of very many lines are spread over salts when the lines
-look them up.
+Lines are cut and hashed in numpy, many texts at a time.  Every line sends one hash;
+aggregation by form combines before the shuffle and keeps a fixed number of fields.  Only
+forms that may fall under another's template are compared, a part of a leaf at a time.
+Forms of very many lines are spread over salts when the lines look them up.
 
 Defined results: of rows equal in doc_id and text any one is the first; null and empty
 texts have no lines to drop; blank lines are structure and stay; repeats within one row
-stay; a null doc_id is greater than all others; an empty table gives no rows.
+stay; a null doc_id is greater than all others; an empty table gives no rows; other
+columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import read_table, written
+from factorloom.llm.common import CHUNK_BYTES, SPACE_SEPARATORS, binary_columns, lower_ascii, mix64, read_table, small_batches, word_hashes, word_spans, written
 
 #: Tokens at the head of a line that are part of its way through the tree.
 DEPTH = 2
@@ -37,8 +40,7 @@ HOT_LINES = 20_000
 SALTS = 64
 #: Forms of a leaf that are compared by one task at a time.
 PART = 128
-#: Forms that may be broadcast; beyond, they are joined by hash.
-BROADCAST_FORMS = 1_000_000
+LAST = (1 << 63) - 1
 
 
 def allowance(n: int) -> int:
@@ -46,17 +48,76 @@ def allowance(n: int) -> int:
     return -(-(n - DEPTH) // SEGMENTS) if n >= VARIABLE_TOKENS else n // 5
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    """row, doc_id, body (hash of the text), line (position), n, t (tokens), h (form), leaf of every line of (row, doc_id, text)."""
-    lines = docs.where("text is not null").select(
-        "row", "doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("line", "s")
-    )
-    # Single passes over the characters: no pattern here can backtrack on a long token.
-    plain = F.when(F.col("s").rlike("\\p{L}"), F.regexp_replace(F.lower("s"), "[0-9]+", "0")).otherwise(F.col("s"))
-    tokens = F.expr("filter(split(plain, '[\\\\x09-\\\\x0D ]+'), t -> t <> '')")
-    lines = lines.withColumn("plain", plain).withColumn("t", tokens).withColumn("n", F.size("t")).where("n > 0")
-    lead = ", ".join(f"get(t, {k})" for k in range(DEPTH))
-    return lines.withColumn("h", F.expr("xxhash64(n, t)")).withColumn("leaf", F.expr(f"xxhash64(n, {lead})")).drop("s", "plain")
+#: Least tokens of a line that may vary.
+MIN_VARIABLE = next(n for n in range(1, 100) if allowance(n))
+
+
+def line_tokens(data: np.ndarray, offsets: np.ndarray):
+    """Per run of whole lines: text, line (position in it), n, h (form), leaf of each line with
+    tokens, and all token hashes one after another."""
+    starts = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 0x0A) + 1]))
+    starts = starts[starts < len(data)]
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    place = np.arange(len(starts)) - np.searchsorted(starts, offsets[text])
+    ends = np.append(starts[1:], len(data))
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK_BYTES, side="right")))
+        base = starts[lo]
+        low, begin = lower_ascii(data[base : ends[hi - 1]]), starts[lo:hi] - base
+        letter = ((low >= 0x61) & (low <= 0x7A)) | (low >= 0x80)
+        digit = (low >= 0x30) & (low <= 0x39)
+        digit &= np.repeat(np.maximum.reduceat(letter, begin), ends[lo:hi] - starts[lo:hi])
+        again = digit.copy()
+        again[1:] &= digit[:-1]
+        again[begin] = False
+        low[digit] = 0x30
+        kept = np.concatenate([[0], np.cumsum(~again)])
+        low = low[~again]
+        s, e, line = word_spans(low, np.append(kept[begin], len(low)), SPACE_SEPARATORS)
+        hashes = word_hashes(low, s, e)
+        first = np.flatnonzero(np.diff(line, prepend=-1))
+        n = np.diff(np.append(first, len(line)))
+        at = (np.arange(len(line)) - np.repeat(first, n)).astype(np.uint64)
+        whole = np.add.reduceat(mix64(hashes + (at + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), first) if len(first) else np.zeros(0, np.uint64)
+        size = n.astype(np.uint64)
+        leaf = mix64(size * np.uint64(0xD1342543DE82EF95))
+        for k in range(DEPTH):
+            token = np.where(n > k, hashes[np.minimum(first + k, len(line) - 1)], np.uint64(k)) if len(first) else hashes
+            leaf = mix64(leaf * np.uint64(0xA0761D6478BD642F) ^ token)
+        which = line[first] + lo
+        yield text[which], place[which], n, mix64(whole ^ size).view(np.int64), leaf.view(np.int64), hashes
+        lo = hi
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """row, d (doc_id, nulls last), body (hash of the text), line (position), n, h, leaf of every line of (row, doc_id, text)."""
+
+    def run(batches):
+        for b in batches:
+            row, doc, body = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            for text, line, n, h, leaf, _ in line_tokens(*binary_columns(b, "text")):
+                cols = (row[text], doc[text], body[text], line.astype(np.int32), n.astype(np.int32), h, leaf)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "d", "body", "line", "n", "h", "leaf"])
+
+    src = rows.select("row", F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64("text").alias("body"), "text")
+    return src.mapInArrow(run, "row long, d long, body long, line int, n int, h long, leaf long")
+
+
+def _form_tokens(rows: DataFrame) -> DataFrame:
+    """h, t (32 bits of each token's hash) of the forms whose length lets them vary."""
+
+    def run(batches):
+        for b in batches:
+            for _, _, n, h, _, hashes in line_tokens(*binary_columns(b, "text")):
+                first = np.cumsum(n) - n
+                some = np.unique(h, return_index=True)[1]
+                some = some[n[some] >= MIN_VARIABLE]
+                tokens = (hashes >> np.uint64(32)).astype(np.uint32)
+                t = [tokens[a:z].tobytes() for a, z in zip(first[some].tolist(), (first + n)[some].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(t, pa.binary())], names=["h", "t"])
+
+    return rows.select("text").mapInArrow(run, "h long, t binary")
 
 
 def _founders(t: np.ndarray) -> np.ndarray:
@@ -71,12 +132,12 @@ def _founders(t: np.ndarray) -> np.ndarray:
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
-    t = table.column("t").combine_chunks()
-    return t.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+    return np.frombuffer(b"".join(table.column("t").to_pylist()), np.uint32).reshape(len(table), -1)
 
 
-_FORM = "leaf long, h long, d long, b long, keeper long, t array<long>"
-_ORDER = [(c, "ascending") for c in ("d", "b", "keeper", "h")]
+_FORM = "leaf long, h long, d long, r0 long, r1 long, n_lines long, t binary"
+_ORDER = [("d", "ascending"), ("h", "ascending")]
+_PLACED = "h long, to long, d long, r0 long, r1 long, n_lines long"
 
 
 def _found(table: pa.Table) -> pa.Table:
@@ -85,33 +146,29 @@ def _found(table: pa.Table) -> pa.Table:
 
 
 def _assign(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Each form of a part with the keeper of the first template of the leaf that it falls under, or null."""
+    """Each form of a part with the first template of the leaf that it falls under (its founder's h), or null."""
     left, right = left.sort_by(_ORDER), right.sort_by(_ORDER)
-    keeper = np.zeros(len(left), np.int64)
+    to = np.zeros(len(left), np.int64)
     ok = np.zeros(len(left), bool)
     if len(left) and len(right):
-        x, allowed = _matrix(left), None
+        x = _matrix(left)
         allowed = allowance(x.shape[1])
-        for first, k in zip(_matrix(right), right.column("keeper").to_pylist(), strict=True):
+        for first, h in zip(_matrix(right), right.column("h").to_pylist(), strict=True):
             near = ~ok & ((x != first).sum(1) <= allowed)
-            keeper[near], ok = k, ok | near
+            to[near], ok = h, ok | near
             if ok.all():
                 break
-    return pa.table({"h": left.column("h"), "to": pa.array(keeper, mask=~ok)})
-
-
-def _merged(forms: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """h, to (keeper of its template) of the forms whose leaf has others."""
-    sizes = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1")
-    pool = written(forms.join(sizes, "leaf").select("leaf", "h", "d", "b", "keeper"), "pool")
-    n_pool = pool.count()
-    if not n_pool:
-        return None
-    side = F.broadcast(pool) if n_pool <= BROADCAST_FORMS else pool
-    texts = _tokens(docs).select("h", F.expr("transform(t, x -> xxhash64(x))").alias("t"))
-    texts = texts.join(side.select("h"), "h", "left_semi").dropDuplicates(["h"])
-    pool = written(pool.join(texts, "h"), "pool")
-    done = None
+    out = left.select(["h", "d", "r0", "r1", "n_lines"])
+    return out.add_column(1, "to", pa.array(to, pa.int64(), mask=~ok))
+
+
+def _merged(forms: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """h, to (its template), d, r0, r1, n_lines of the forms whose leaf has others."""
+    some = forms.where(F.col("n") >= MIN_VARIABLE)
+    sizes = some.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1")
+    pool = some.join(sizes, "leaf").select("leaf", "h", "d", "r0", "r1", "n_lines")
+    pool = written(pool.hint("merge").join(_form_tokens(rows).groupBy("h").agg(F.first("t").alias("t")), "h"), "pool")
+    n_pool, done = pool.count(), None
     # A round settles every leaf of one part, and of larger leaves all forms that are near a founder of this round.
     while n_pool:
         sizes = pool.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PART))).alias("parts"))
@@ -119,34 +176,41 @@ def _merged(forms: DataFrame, docs: DataFrame) -> DataFrame | None:
         heads = dealt.groupBy("leaf", "part").applyInArrow(_found, _FORM)
         heads = written(heads.groupBy("leaf").applyInArrow(_found, _FORM), "heads")
         spread = heads.join(sizes, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-        placed = dealt.groupBy("leaf", "part").cogroup(spread.groupBy("leaf", "part")).applyInArrow(_assign, "h long, to long")
+        placed = dealt.groupBy("leaf", "part").cogroup(spread.groupBy("leaf", "part")).applyInArrow(_assign, _PLACED)
         placed = written(placed, "placed")
-        done = placed.where("to is not null") if done is None else done.unionByName(placed.where("to is not null"))
-        pool = pool.join(placed.where("to is null").select("h"), "h", "left_semi")
-        n_pool = placed.where("to is null").count()
+        settled = placed.where("to is not null")
+        done = settled if done is None else done.unionByName(settled)
+        n_left = placed.where("to is null").count()
+        if n_left:
+            pool = written(pool.join(placed.where("to is null").select("h"), "h", "left_semi"), "pool")
+        n_pool = n_left
     return done
 
 
-def recurring(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """h, keeper (the row that keeps it), n_lines of forms whose template is found in different rows."""
-    least = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("body").alias("b"), F.col("row").alias("keeper"))
-    forms = lines.groupBy("h", "leaf").agg(
-        F.min("row").alias("r0"), F.max("row").alias("r1"), F.min(least).alias("k"), F.count(F.lit(1)).alias("n_lines")
-    )
-    forms = written(forms.select("h", "leaf", "r0", "r1", "k.*", "n_lines"), "forms")
-    merged = _merged(forms, docs)
-    forms = forms.withColumn("to", F.col("keeper")) if merged is None else forms.join(merged, "h", "left")
-    to = F.coalesce("to", "keeper")
-    return forms.where((F.col("r0") != F.col("r1")) | (to != F.col("keeper"))).select("h", to.alias("keeper"), "n_lines")
+def recurring(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """h, template, td (least doc_id of the template), n_lines of forms whose template is found in different rows."""
+    forms = lines.groupBy("h").agg(
+        F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.min("d").alias("d"), F.min("row").alias("r0"), F.max("row").alias("r1"),
+        F.count(F.lit(1)).alias("n_lines"),
+    )
+    forms = written(forms, "forms")
+    merged = _merged(forms, rows)
+    alone = forms.where("r0 <> r1")
+    if merged is None:
+        return alone.select("h", F.col("h").alias("template"), F.col("d").alias("td"), "n_lines")
+    alone = alone.join(merged.select("h"), "h", "left_anti").select("h", F.col("h").alias("template"), F.col("d").alias("td"), "n_lines")
+    groups = merged.groupBy("to").agg(F.min("d").alias("td"), F.min("r0").alias("a"), F.max("r1").alias("b")).where("a <> b")
+    return alone.unionByName(merged.join(groups, "to").select("h", F.col("to").alias("template"), "td", "n_lines"))
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(rows: DataFrame) -> DataFrame:
     """row, drop (sorted positions) of the rows that lose lines."""
-    lines = written(_tokens(docs).select("row", "doc_id", "body", "line", "h", "leaf"), "lines")
-    found = written(recurring(lines, docs), "templates")
+    lines = written(_lines(rows), "lines")
+    found = written(recurring(lines, rows), "templates")
     # At most one in HOT_LINES of all lines is such a template's hash: spread over all tasks by salt.
     hot = found.where(F.col("n_lines") > HOT_LINES).select("h", F.lit(True).alias("hot"))
     n_hot = hot.count()
+    lines = lines.select("h", "d", "body", "row", "line")
     if n_hot:
         salt = F.pmod(F.xxhash64("row", "line"), F.lit(SALTS))
         side = F.broadcast(hot) if n_hot < 100_000 else hot
@@ -157,20 +221,27 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         pairs = lines.join(found.withColumn("salt", F.explode(spread)), ["h", "salt"])
     else:
         pairs = lines.join(found, "h")
-    lost = pairs.where("row <> keeper").groupBy("row", "line").agg(F.lit(1).alias("x"))
+    pairs = written(pairs.select("row", "line", "d", "body", "template", "td"), "pairs")
+    # Rows of the least doc_id are few; among them the least text keeps the template.
+    least = pairs.where("d = td")
+    keepers = least.groupBy("template").agg(F.min(F.struct("body", "row")).alias("k")).select("template", F.col("k.row").alias("keeper"))
+    lost = least.join(keepers, "template").where("row <> keeper").select("row", "line")
+    lost = lost.unionByName(pairs.where("d <> td").select("row", "line"))
     return lost.groupBy("row").agg(F.array_sort(F.collect_list("line")).alias("drop"))
 
 
 def drop_templates(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with ``text`` without its dropped lines, and n_lines, n_dropped."""
     columns = docs.columns
+    small_batches(docs.sparkSession)
     # Rows are numbered once: copies of a row are told apart by it.
     rows = written(docs.select(F.struct("*").alias("r"), F.monotonically_increasing_id().alias("row")), "rows")
-    rows = rows.select("r", "row", F.col("r.`doc_id`").cast("long").alias("doc_id"), F.col("r.`text`").cast("string").alias("text"))
-    lost = written(dropped_lines(rows.drop("r")), "lost-lines")
-    joined = rows.join(lost, "row", "left").withColumn("ls", F.split("text", "\n"))
-    left = F.expr("array_join(filter(ls, (s, i) -> not array_contains(drop, i)), '\n')")
-    joined = joined.withColumn("new", F.when(F.col("drop").isNull(), F.col("text")).otherwise(left))
+    text = F.col("r.`text`").cast("string")
+    lost = written(dropped_lines(rows.select("row", F.col("r.`doc_id`").cast("long").alias("doc_id"), text.alias("text"))), "lost-lines")
+    # The same join at every size; both sides are dealt by row once.
+    joined = rows.hint("merge").join(lost, "row", "left").withColumn("ls", F.split(text, "\n"))
+    left = F.expr("array_join(transform(array_except(sequence(0, size(ls) - 1), drop), i -> get(ls, i)), '\n')")
+    joined = joined.withColumn("new", F.when(F.col("drop").isNull(), text).otherwise(left))
     return joined.select(
         *(F.col("new" if c == "text" else f"r.`{c}`").alias(c) for c in columns),
         F.coalesce(F.size("ls"), F.lit(0)).cast("long").alias("__n_lines"),
@@ -203,8 +274,9 @@ def brute_force(docs: list[tuple]) -> dict:
     import re
 
     def tokens(line: str) -> list:
-        if any(c.isalpha() for c in line):
-            line = re.sub("[0-9]+", "0", line.lower())
+        line = line.translate({c: c + 32 for c in range(0x41, 0x5B)})
+        if any("a" <= c <= "z" or c > "\x7f" for c in line):
+            line = re.sub("[0-9]+", "0", line)
         return [w for w in re.split("[\t-\r ]+", line) if w]
 
     leaves: dict = {}
