@@ -23,6 +23,8 @@ columns, whatever their names, are carried along.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +40,8 @@ VARIABLE_TOKENS = 12
 #: A template with more lines is looked up under salts.
 HOT_LINES = 20_000
 SALTS = 64
-#: Forms of a leaf that are compared by one task at a time.
-PART = 128
+#: Forms of a leaf that are compared by one task at a time; a larger leaf is settled in rounds, part by part.
+PART = 2048
 LAST = (1 << 63) - 1
 
 
@@ -162,15 +164,56 @@ def _assign(left: pa.Table, right: pa.Table) -> pa.Table:
     return out.add_column(1, "to", pa.array(to, pa.int64(), mask=~ok))
 
 
+_SETTLED = "h long, to long, d long, r0 long, r1 long, n_lines long"
+
+
+def _settle(batches):
+    """Forms sorted by (leaf, d, h), many leaves to a batch: each with its template, the last leaf of a batch with the next one."""
+    rest = None
+    for b in chain(batches, [None]):
+        if b is not None:
+            b = b.set_column(b.schema.get_field_index("t"), "t", b.column("t").cast(pa.large_binary()))
+        table = pa.Table.from_batches([x for x in (rest, b) if x is not None]).combine_chunks() if rest is not None or b is not None else None
+        if table is None or not len(table):
+            continue
+        whole = table.to_batches()[0]
+        leaf = whole.column("leaf").to_numpy()
+        starts = np.flatnonzero(np.diff(leaf, prepend=leaf[0] ^ 1))
+        end = int(starts[-1]) if b is not None else len(leaf)
+        rest, whole = whole.slice(end) if b is not None else None, whole.slice(0, end)
+        if not end:
+            continue
+        t = whole.column("t")
+        at = np.frombuffer(t.buffers()[1], np.int64)[t.offset : t.offset + len(t) + 1]
+        data = np.frombuffer(t.buffers()[2], np.uint8)
+        h = whole.column("h").to_numpy()
+        to = h.copy()
+        edges = np.append(starts[starts < end], end).tolist()
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            m = data[at[lo] : at[hi]].view(np.uint32).reshape(hi - lo, -1)
+            if hi - lo == 2:
+                if (m[0] != m[1]).sum() <= allowance(m.shape[1]):
+                    to[lo + 1] = h[lo]
+            else:
+                to[lo:hi] = h[lo + _founders(m)]
+        out = [whole.column(c) for c in ("h", "d", "r0", "r1", "n_lines")]
+        yield pa.RecordBatch.from_arrays([out[0], pa.array(to), *out[1:]], names=[c.split()[0] for c in _SETTLED.split(", ")])
+
+
 def _merged(forms: DataFrame, rows: DataFrame) -> DataFrame | None:
     """h, to (its template), d, r0, r1, n_lines of the forms whose leaf has others."""
     some = forms.where(F.col("n") >= MIN_VARIABLE)
     sizes = some.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1")
-    pool = some.join(sizes, "leaf").select("leaf", "h", "d", "r0", "r1", "n_lines")
+    pool = some.join(sizes, "leaf").select("leaf", "h", "d", "r0", "r1", "n_lines", "forms")
     pool = written(pool.hint("merge").join(_form_tokens(rows).groupBy("h").agg(F.first("t").alias("t")), "h"), "pool")
-    n_pool, done = pool.count(), None
-    # A round settles every leaf of one part, and of larger leaves all forms that are near a founder of this round.
-    while n_pool:
+    n_pool, n_big = pool.agg(F.count(F.lit(1)), F.count_if(F.col("forms") > PART)).first()
+    if not n_pool:
+        return None
+    small = pool.where(F.col("forms") <= PART).repartition("leaf").sortWithinPartitions("leaf", "d", "h")
+    done = written(small.mapInArrow(_settle, _SETTLED), "settled")
+    pool = pool.where(F.col("forms") > PART).drop("forms")
+    # Larger leaves: a round settles all forms that are near a founder of this round.
+    while n_big:
         sizes = pool.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PART))).alias("parts"))
         dealt = pool.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("h", F.lit(11)), F.col("parts"))).drop("parts")
         heads = dealt.groupBy("leaf", "part").applyInArrow(_found, _FORM)
@@ -178,12 +221,10 @@ def _merged(forms: DataFrame, rows: DataFrame) -> DataFrame | None:
         spread = heads.join(sizes, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
         placed = dealt.groupBy("leaf", "part").cogroup(spread.groupBy("leaf", "part")).applyInArrow(_assign, _PLACED)
         placed = written(placed, "placed")
-        settled = placed.where("to is not null")
-        done = settled if done is None else done.unionByName(settled)
-        n_left = placed.where("to is null").count()
-        if n_left:
+        done = done.unionByName(placed.where("to is not null"))
+        n_big = placed.where("to is null").count()
+        if n_big:
             pool = written(pool.join(placed.where("to is null").select("h"), "h", "left_semi"), "pool")
-        n_pool = n_left
     return done
 
 
