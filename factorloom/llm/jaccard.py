@@ -12,11 +12,15 @@ classes are joined, not documents.
    first, so a class with at least ``n - ceil(t n) + 1`` of them is linked with nothing
    and ends here.  The overlap of two classes is that of their shared shingles, so
    profiles are all that verification needs.
-4. ``_candidates``: classes meet at the shingles of their prefix.  Neighbours by size
-   are tried first; what verification links is one component; then pairs from different
-   components that still meet at a shingle are tried, all of them.  So a group of
-   copies costs about as many pairs as it has members, and no link is lost.
-5. ``_verified``: pairs must share a prefix shingle under every order, and then reach
+4. ``_chained``: classes meet at the shingles of their prefix, neighbours by size are tried,
+   and what verification links is one component: as many pairs as postings.
+5. ``_across``: components that still meet at a shingle are paired.  A pair must agree in
+   size, have enough shingles left for its overlap from the first common one on, and share
+   prefix shingles under every other order (by signatures carried with the postings).
+   Likeness being a metric, components whose roots are far apart end here; members of the
+   others are paired under the same filters.  So a group of copies costs about as many
+   pairs as it has members, and no link is lost.
+6. ``_verified``: pairs must share a prefix shingle under every order, and then reach
    the threshold by their exact overlap.
 
 Hot shingles: frequencies are summed from per-block counts, and the blocks' postings
@@ -63,8 +67,8 @@ BLOCK_GROUP = 256
 TOKEN_BITS = 48
 #: Bits by which frequencies are counted (a clash only raises a frequency).
 COUNT_BITS = 40
-#: Seeds of the global orders; within a frequency class each sorts shingles its own way.
-ORDERS = (1, 2, 3)
+#: Global orders: by rarity, and two by hashes.
+ORDERS = (0, 1, 2)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -86,8 +90,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE_WOR
     return out
 
 
-def _class_key(hashes: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+def _class_key(hashes: np.ndarray) -> bytes:
+    """128 bits, so that no two sets of a very large corpus are taken for one."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -98,10 +103,10 @@ def classes(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(*binary_columns(b, "text"))
             keys = [_class_key(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "n", "v"]
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n", "v"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, v long")
+    return docs.mapInArrow(run, "doc_id long, n long, v binary")
 
 
 # Sorted integers travel as deltas in byte planes: the high planes are nearly all zero.
@@ -129,7 +134,7 @@ def _unpack(blob: bytes, planes: int = 8) -> np.ndarray:
 
 def _blocks(batches):
     """Distinct classes of a task in blocks: class keys, set sizes, and the sets' hashes one after another."""
-    seen: set[int] = set()
+    seen: set[bytes] = set()
     keys, sets, total = [], [], 0
     for b in batches:
         for s in shingle_sets(*binary_columns(b, "text")):
@@ -210,14 +215,24 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefix(tokens: np.ndarray, rarity: np.ndarray, n: int, seed: int, percent: int = PERCENT) -> np.ndarray:
-    """Shared shingles in the prefix of a set of ``n`` under the order ``seed``; the unshared ones come before."""
+def prefix(tokens: np.ndarray, rarity: np.ndarray, n: int, order: int, percent: int = PERCENT) -> np.ndarray:
+    """Shared shingles in the prefix of a set of ``n`` under a global order; the unshared ones come before.
+
+    Order 0 has the rarest first (of equals, by hash); the others go by a hash of their own alone.
+    """
     room = prefix_length(n, percent) - (n - len(tokens))
     if room <= 0:
         return tokens[:0]
-    # The rarest first; among equals, an order of the seed's own.
-    order = np.lexsort((mix64(tokens * np.uint64(2 * seed + 1) + np.uint64(seed << 50)), rarity))
-    return tokens[order[:room]]
+    place = mix64(tokens * np.uint64(2 * order + 3) + np.uint64((order + 1) << 50))
+    return tokens[(np.argsort(place) if order else np.lexsort((place, rarity)))[:room]]
+
+
+def signature(tokens: np.ndarray) -> list[int]:
+    """128 bits in which shingles set a bit each: sets without a common bit have no common shingle."""
+    bit = mix64(tokens * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(57)
+    words = np.zeros(2, np.uint64)
+    np.bitwise_or.at(words, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return words.view(np.int64).tolist()
 
 
 def _profiles(docs: DataFrame, frequencies: DataFrame, bits: int, salts: int, percent: int) -> DataFrame:
@@ -228,7 +243,7 @@ def _profiles(docs: DataFrame, frequencies: DataFrame, bits: int, salts: int, pe
             owner = np.repeat(np.arange(len(keys), dtype=np.uint64), sizes)
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
-            block = xxhash.xxh3_64_intdigest(np.array(keys, np.int64).tobytes()) - (1 << 63)
+            block = xxhash.xxh3_64_intdigest(b"".join(keys)) - (1 << 63)
             edges = _range_edges(tokens, bits)
             home = block % (1 << bits)
             cols: list[list] = [[], [], [], [], [], []]
@@ -236,7 +251,7 @@ def _profiles(docs: DataFrame, frequencies: DataFrame, bits: int, salts: int, pe
                 part = slice(edges[k], edges[k + 1])
                 own = k == home
                 row = (k, block % salts, block, _pack(tokens[part]), _planes(owner[part], 4),
-                       np.array([keys, sizes], np.int64).tobytes() if own else None)
+                       b"".join(keys) + np.array(sizes, np.int64).tobytes() if own else None)
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -264,7 +279,8 @@ def _profiles(docs: DataFrame, frequencies: DataFrame, bits: int, salts: int, pe
     def assemble(table: pa.Table) -> pa.Table:
         # A block's profiles: at most BLOCK_SHINGLES tokens and one more text.
         roster = next(x for x in table.column("roster").to_pylist() if x is not None)
-        keys, sizes = np.frombuffer(roster, np.int64).reshape(2, -1)
+        many = len(roster) // 24
+        keys, sizes = [roster[16 * k : 16 * k + 16] for k in range(many)], np.frombuffer(roster, np.int64, offset=16 * many)
         tokens = np.concatenate([_unpack(x) for x in table.column("tokens").to_pylist()])
         owners = np.concatenate([_unplanes(x, 4) for x in table.column("owners").to_pylist()]).astype(np.int64)
         rarity = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("rarity").to_pylist()])
@@ -275,9 +291,9 @@ def _profiles(docs: DataFrame, frequencies: DataFrame, bits: int, salts: int, pe
         for k in range(len(keys)):
             part, n = slice(edges[k], edges[k + 1]), int(sizes[k])
             if n - (edges[k + 1] - edges[k]) < prefix_length(n, percent):
-                rows.append((int(keys[k]), n, tokens[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), rarity[part].tobytes()))
+                rows.append((keys[k], n, tokens[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), rarity[part].tobytes()))
         v, n, t, r = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.table({"v": pa.array(v, pa.int64()), "n": pa.array(n, pa.int64()), "tokens": pa.array(t, pa.binary()), "rarity": pa.array(r, pa.binary())})
+        return pa.table({"v": pa.array(v, pa.binary()), "n": pa.array(n, pa.int64()), "tokens": pa.array(t, pa.binary()), "rarity": pa.array(r, pa.binary())})
 
     postings = docs.mapInArrow(send, "bucket long, salt long, block long, tokens binary, owners binary, roster binary")
     spread = frequencies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
@@ -286,7 +302,7 @@ def _profiles(docs: DataFrame, frequencies: DataFrame, bits: int, salts: int, pe
         .cogroup(spread.groupBy("bucket", "salt"))
         .applyInArrow(reply, "block long, tokens binary, owners binary, rarity binary, roster binary")
     )
-    found = shared.groupBy("block").applyInArrow(assemble, "v long, n long, tokens binary, rarity binary")
+    found = shared.groupBy("block").applyInArrow(assemble, "v binary, n long, tokens binary, rarity binary")
     return found.dropDuplicates(["v"])
 
 
@@ -296,21 +312,59 @@ def _tokens(raw: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8")
 
 
+#: Postings of a token that meet in one window; more are dealt by salt.
+HOT_TOKEN = 4096
+
+
+_SIGNS = [f"s{o}{k}" for o in ORDERS[1:] for k in range(2)]
+_MEETING = "token long, salt long, v binary, n long, rest long, " + ", ".join(f"{c} long" for c in _SIGNS)
+
+
 def _meetings(profiles: DataFrame, percent: int) -> DataFrame:
-    """token, v, n for each shingle of the first order's prefix."""
+    """A row for each shingle of a class's prefix under the first order.
+
+    token, salt, v, n, rest (the class's shared shingles from this one on in the first order), and
+    signatures of its prefixes under the other orders.
+    """
 
     def run(batches):
         for b in batches:
-            v, n, t = [], [], []
+            cols: list[list] = [[] for _ in range(5 + len(_SIGNS))]
             for key, size, raw, rare in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                p = prefix(_tokens(raw), np.frombuffer(rare, np.uint8), size, ORDERS[0], percent)
-                t.append(p.astype(np.int64))
-                v.append(np.full(len(p), key, np.int64))
-                n.append(np.full(len(p), size, np.int64))
-            if t:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (t, v, n)], names=["token", "v", "n"])
+                tokens, rarity = _tokens(raw), np.frombuffer(rare, np.uint8)
+                p = prefix(tokens, rarity, size, ORDERS[0], percent)
+                # About how often a token occurs is known from its rarity.
+                lots = np.maximum(1, 2.0 ** (rarity[np.searchsorted(tokens, p)] / 4.0) / HOT_TOKEN).astype(np.uint64)
+                signs = [w for o in ORDERS[1:] for w in signature(prefix(tokens, rarity, size, o, percent))]
+                row = [p.astype(np.int64), (np.uint64(int.from_bytes(key[:7], "little")) % lots).astype(np.int64), None, np.full(len(p), size), len(tokens) - np.arange(len(p))]
+                for c, x in zip(cols, [*row, *(np.full(len(p), w) for w in signs)], strict=True):
+                    c.append(x)
+                cols[2][-1] = np.array([key] * len(p), object)
+            if cols[0]:
+                flat = [np.concatenate(c) for c in cols]
+                names = [c.split()[0] for c in _MEETING.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 2 else pa.int64()) for i, c in enumerate(flat)], names=names)
 
-    return profiles.select("v", "n", "tokens", "rarity").mapInArrow(run, "token long, v long, n long")
+    return profiles.select("v", "n", "tokens", "rarity").mapInArrow(run, _MEETING)
+
+
+def _side(profiles: DataFrame, c: str) -> DataFrame:
+    return profiles.select(F.col("v").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "tokens", "rarity")))
+
+
+def _overlaps(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """a, b, near: exact likeness (shared over all) of the pairs."""
+
+    def run(batches):
+        for b in batches:
+            near = []
+            for nx, tx, ny, ty in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                both = len(np.intersect1d(_tokens(tx), _tokens(ty), True))
+                near.append(both / (nx + ny - both))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(near, pa.float64())], names=["a", "b", "near"])
+
+    rows = pairs.join(_side(profiles, "a"), "a").join(_side(profiles, "b"), "b")
+    return rows.select("a", "b", "n_a", "tokens_a", "n_b", "tokens_b").mapInArrow(run, "a binary, b binary, near double")
 
 
 def _verified(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
@@ -329,35 +383,97 @@ def _verified(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
                 keep.append(ok)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
 
-    side = lambda c: profiles.select(F.col("v").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "tokens", "rarity")))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    rows = pairs.join(_side(profiles, "a"), "a").join(_side(profiles, "b"), "b")
     rows = rows.select("a", "b", "n_a", "tokens_a", "rarity_a", "n_b", "tokens_b", "rarity_b")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
-def class_links(docs: DataFrame, total: int, percent: int = PERCENT) -> DataFrame:
-    """Components (node, root) of the classes of ``docs`` that are linked with others."""
+def _chained(meetings: DataFrame, percent: int) -> DataFrame:
+    """Neighbours by size among the classes that meet at a shingle: no more pairs than postings."""
+    fits = F.expr(f"a is not null and 100 * n_small >= {percent} * n_large")
+    order = Window.partitionBy("token", "salt").orderBy("n", "v")
+    rows = meetings.select("*", F.lag("v").over(order).alias("a"), F.lag("n").over(order).alias("n_small"))
+    near = rows.select("a", F.col("v").alias("b"), "n_small", F.col("n").alias("n_large"))
+    # The first of each salt are neighbours in their turn.
+    heads = rows.where("a is null").select("token", "v", "n")
+    order = Window.partitionBy("token").orderBy("n", "v")
+    heads = heads.select(F.lag("v").over(order).alias("a"), F.col("v").alias("b"), F.lag("n").over(order).alias("n_small"), F.col("n").alias("n_large"))
+    near = near.unionByName(heads).where(fits)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def class_links(docs: DataFrame, total: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified links (a, b) of classes that together connect all that are linked; the components that the
+    first round of them gives (node, root); and the links that the second round added."""
     bits = max(0, math.ceil(math.log2(max(total, 1) / BLOCK_SHINGLES)))
     salts = max(1, math.ceil(total / BLOCK_SHINGLES / BLOCK_GROUP))
     profiles = written(_profiles(docs, _frequencies(docs, bits), bits, salts, percent), "profiles")
     meetings = written(_meetings(profiles, percent), "meetings")
-    fits = F.expr(f"100 * n_small >= {percent} * n_large")
-
-    order = Window.partitionBy("token").orderBy("n", "v")
-    near = meetings.select(F.lag("v").over(order).alias("a"), F.col("v").alias("b"), F.lag("n").over(order).alias("n_small"), F.col("n").alias("n_large"))
-    near = near.where(F.col("a").isNotNull() & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = written(_verified(near, profiles, percent), "links")
+    links = written(_verified(_chained(meetings, percent), profiles, percent), "links")
     parts = written(connected(links), "parts")
 
     # What meets at a shingle and is not in one component yet.
     placed = meetings.join(parts.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
+    mark = F.xxhash64("root")
+    mixed = placed.groupBy("token").agg(F.min(mark).alias("r0"), F.max(mark).alias("r1")).where("r0 <> r1").select("token")
     rest = written(placed.join(mixed, "token", "left_semi"), "rest")
-    left, right = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("v", "n", "root"))) for s in ("l", "r"))
-    far = left.join(right, "token").where("root_l <> root_r and (n_l < n_r or n_l = n_r and v_l < v_r)")
-    far = far.where(F.expr(f"100 * n_l >= {percent} * n_r")).select(F.least("v_l", "v_r").alias("a"), F.greatest("v_l", "v_r").alias("b")).distinct()
-    far = far.join(near, ["a", "b"], "left_anti")
-    return connected(links.unionByName(_verified(far, profiles, percent)))
+    far = written(_verified(_across(rest, profiles, percent), profiles, percent), "far")
+    return links.unionByName(far), parts, far
+
+
+def _may_share(percent: int, signs: list[str]) -> str:
+    """What two sides (l, r; of a class or of a component) that meet at a shingle must fulfil to be linked by it.
+
+    Sizes must agree; if this is their first common shingle, what is left of both must hold the
+    overlap they need; and they must share a prefix shingle under every other order as well.
+    """
+    sizes = f"100 * hi_l >= {percent} * lo_r and 100 * hi_r >= {percent} * lo_l"
+    left = f"least(rest_l, rest_r) * {100 + percent} >= {percent} * (lo_l + lo_r)"
+    orders = " and ".join(f"(({a}_l & {a}_r) <> 0 or ({b}_l & {b}_r) <> 0)" for a, b in zip(signs[0::2], signs[1::2], strict=True))
+    return f"{sizes} and {left} and {orders}"
+
+
+def _across(rest: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that may be linked.
+
+    Components are paired first.  With d = 1 - likeness, which is a metric, two classes are no
+    closer than their components' roots are, less their distances to them; so components whose
+    roots are far apart are left without looking at their members' pairs.
+    """
+    parts = ["root", "lo", "hi", "rest", *_SIGNS]
+    gathered = rest.groupBy("token", "root").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"), *(F.bit_or(c).alias(c) for c in _SIGNS)
+    )
+    gathered = written(gathered, "gathered")
+    left, right = (gathered.select("token", *(F.col(c).alias(f"{c}_{s}") for c in parts)) for s in "lr")
+    pairs = left.join(right, "token").where(F.expr(f"root_l < root_r and {_may_share(percent, _SIGNS)}"))
+    pairs = written(pairs.select(F.col("root_l").alias("a"), F.col("root_r").alias("b")).distinct(), "root-pairs")
+
+    # Distances of members to their root, and of roots.
+    some = pairs.select(F.col("a").alias("root")).unionByName(pairs.select(F.col("b").alias("root"))).distinct()
+    members = rest.join(some, "root", "left_semi").select("v", "root").distinct()
+    gaps = _overlaps(members.where("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b")), profiles)
+    gaps = gaps.select(F.col("a").alias("v"), (1 - F.col("near")).alias("gap"))
+    members = written(members.join(gaps, "v", "left").select("v", "root", F.coalesce("gap", F.lit(0.0)).alias("gap")), "members-gap")
+    widest = members.groupBy("root").agg(F.max("gap").alias("gap"))
+    apart = _overlaps(pairs, profiles).select("a", "b", (1 - F.col("near")).alias("apart"))
+    for c in "ab":
+        apart = apart.join(widest.select(F.col("root").alias(c), F.col("gap").alias(f"gap_{c}")), c)
+    slack = 1 - percent / 100 + 1e-9
+    close = written(apart.where(F.col("apart") <= F.col("gap_a") + F.col("gap_b") + slack).select("a", "b", "apart"), "close")
+
+    # Members of the components left, where they meet at a shingle.
+    each = rest.join(members, ["v", "root"]).withColumnsRenamed({"n": "lo"}).withColumn("hi", F.col("lo"))
+    side = lambda s: each.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ["v", "gap", *parts]))
+    met = side("l").join(close.withColumnsRenamed({"a": "root_l", "b": "root_r"}), "root_l").join(side("r"), ["token", "root_r"])
+    met = met.where(F.expr(f"gap_l + gap_r + {slack} >= apart and {_may_share(percent, _SIGNS)}"))
+    return met.select(F.least("v_l", "v_r").alias("a"), F.greatest("v_l", "v_r").alias("b")).distinct()
+
+
+def class_roots(docs: DataFrame, total: int, percent: int = PERCENT) -> DataFrame:
+    """Components (node, root) of the classes of ``docs`` that are linked with others."""
+    links, parts, far = class_links(docs, total, percent)
+    return connected(links) if far.head(1) else parts
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -372,13 +488,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     small_batches(src.sparkSession)
     members = written(classes(src), "members")
     total = members.agg(F.sum("n")).first()[0] or 0
-    roots = class_links(src.select("text"), total, percent)
-    placed = members.join(roots.withColumnRenamed("node", "v"), "v", "left").select("doc_id", "n", F.coalesce("root", "v").alias("root"))
-    # A class may hold a third of all rows: the minimum is taken by partial sums, and its join back is on two columns.
-    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
-    )
+    roots = class_roots(src.select("text"), total, percent)
+    # Everything is found by class, of which there is a row each; members join on their class alone.
+    each = members.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("least"))
+    placed = written(each.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v")), "placed")
+    least = placed.groupBy("root").agg(F.min("least").alias("id"))
+    ids = written(placed.join(least, "root").select("v", "id"), "ids")
+    return members.join(ids, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("id", "doc_id").alias("component_id"))
+
+
+def linked_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, v) of the classes of equal shingle sets, and the verified links (a, b) between classes
+    that connect every component; copies are not expanded into pairs."""
+    src = only(docs, doc_id="long", text="string")
+    small_batches(src.sparkSession)
+    members = written(classes(src), "members")
+    links, _, _ = class_links(src.select("text"), members.agg(F.sum("n")).first()[0] or 0, percent)
+    return members.select("doc_id", "v"), links
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
