@@ -21,10 +21,12 @@ ALNUM_SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a local folder is made and set.
+    Only where the setting is absent and there is no cluster (tests, a laptop) a local folder is made and set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="loom-shared-")
         shared_dir.own = path
     return path.rstrip("/")
@@ -34,6 +36,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables of the shared folder that this process wrote and nobody has dropped, oldest first.
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -42,6 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,6 +58,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``written``, and the tables made after the first ``since`` ones dropped: nothing reads them any more."""
+    out = written(df, name)
+    for path in _made[since:-1]:
+        drop_path(df.sparkSession, path)
+    del _made[since:-1]
+    return out
+
+
+def n_made() -> int:
+    return len(_made)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Keep Arrow batches small: texts may be long, and a batch is held whole by a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

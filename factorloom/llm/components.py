@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import written
+from factorloom.llm.common import n_made, settled, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -30,13 +30,15 @@ def _round(edges: DataFrame) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of ``edges(a, b)``.
 
-    Each round cuts its lineage in the shared folder; rounds end when the edges stay the same.
+    Each round cuts its lineage in the shared folder and drops the table of the round before; rounds end
+    when the edges stay the same.
     """
+    since = n_made()
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     sign = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     seen = sign(now)
     while seen[0]:
-        now = written(_round(now), "edges")
+        now = settled(_round(now), "edges", since)
         if (fresh := sign(now)) == seen:
             break
         seen = fresh
