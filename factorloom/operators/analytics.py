@@ -12,7 +12,7 @@ from factorloom.sources.panel import bars as load_bars
 
 SPLITS = 5
 TOP_K = 10
-KAPPA = {"turnover": 0.0005, "spread": 0.1, "impact": 0.05}
+KAPPA = {"turnover": 0.0005}
 
 
 def _hist():
@@ -64,10 +64,25 @@ def ic_summary(series: DataFrame) -> DataFrame:
     )
 
 
-def decay(series: DataFrame, splits: int = SPLITS) -> DataFrame:
-    """Means of equal sub-periods (one row per date in the window: small) and their trend."""
-    parts = series.withColumn("part", F.ntile(splits).over(Window.orderBy("datetime"))).groupBy("part").agg(F.avg("ic").alias("ic"))
-    return parts.agg(F.regr_slope("ic", F.col("part").cast("double")).alias("slope"), F.max_by("ic", "part").alias("last"), F.min_by("ic", "part").alias("first"))
+def decay(series: DataFrame, splits: int = SPLITS, weight: float = 0.5) -> DataFrame:
+    """Means of equal sub-periods (one row per date in the window: small), their trend, and what it leaves of the mean.
+
+    ``change`` is the trend over the whole series relative to the mean, from -1 to 1; ``kept`` is the mean
+    less ``weight`` of its fall; ``ratio`` is the last mean over the first.  Nulls for too short a series.
+    """
+    parts = series.withColumn("part", F.ntile(splits).over(Window.orderBy("datetime"))).groupBy("part").agg(F.avg("ic").alias("ic"), F.sum("ic").alias("s"), F.count("ic").alias("n"))
+    known = parts.agg(
+        F.regr_slope("ic", F.col("part").cast("double")).alias("slope"), F.max_by("ic", "part").alias("last"), F.min_by("ic", "part").alias("first"),
+        (F.sum("s") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("parts"),
+    )
+    change = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("slope") * (splits - 1) / F.greatest(F.abs("mean"), F.lit(1e-8))))
+    ok = F.col("parts") >= splits
+    return known.select(
+        *(F.when(ok, F.col(c)).alias(c) for c in ("slope", "first", "last")),
+        F.when(ok, change).alias("change"),
+        F.when(ok, F.col("mean") * (1 - weight * F.greatest(F.lit(0.0), -change))).alias("kept"),
+        F.when(ok & (F.col("first") != 0), F.col("last") / F.col("first")).alias("ratio"),
+    )
 
 
 def q_ic_series(spark, d):
@@ -79,7 +94,7 @@ def q_ic_summary(spark, d):
 
 
 def q_decay(spark, d):
-    return rounded(decay(ic_by_date(labelled(spark, d))), "slope", "first", "last")
+    return rounded(decay(ic_by_date(labelled(spark, d))), "slope", "first", "last", "change", "kept", "ratio")
 
 
 def q_rho_max(spark, d):
@@ -129,24 +144,24 @@ def q_trade_mask(spark, d, band: float = 0.5):
     return out.select("instrument", "datetime", can("up").alias("can_buy"), can("down").alias("can_sell"))
 
 
-def q_trailing_risk(spark, d, span: int = 6):
+def trailing(rows: DataFrame, span: int = 6) -> DataFrame:
     """Volatility and average amount of the bars strictly before."""
     w = _hist()
-    out = panel(spark, d).withColumn("ret", ieee_div(F.col("close"), F.lag("close").over(w)) - 1)
+    out = rows.withColumn("ret", ieee_div(F.col("close"), F.lag("close").over(w)) - 1)
     past = w.rowsBetween(-span, -1)
     least = max(2, span // 2)
-    return rounded(
-        out.select(
-            "instrument",
-            "datetime",
-            F.when(F.count("ret").over(past) >= least, F.stddev_samp("ret").over(past)).alias("sigma"),
-            F.when(F.count("amount").over(past) >= least, F.avg("amount").over(past)).alias("adv"),
-        ),
-        "sigma",
-        "adv",
+    return out.select(
+        "instrument",
+        "datetime",
+        F.when(F.count("ret").over(past) >= least, F.stddev_samp("ret").over(past)).alias("sigma"),
+        F.when(F.count("amount").over(past) >= least, F.avg("amount").over(past)).alias("adv"),
     )
 
 
+def q_trailing_risk(spark, d):
+    return rounded(trailing(panel(spark, d)), "sigma", "adv")
+
+
 def top_weights(spark, d, k: int = TOP_K) -> DataFrame:
     """instrument, datetime, w, ret: equal weights of each date's k best scores, zeros kept."""
     w = _hist()
@@ -184,25 +199,29 @@ def q_net_return(spark, d):
     return rounded(book(top_weights(spark, d)), "turnover", "gross", "net")
 
 
-def q_drawdown(spark, d):
-    """One row per date: the window over all dates is as long as the calendar, not the data."""
+def curve(daily: DataFrame) -> DataFrame:
+    """nav, drawdown, excess by date: the window over all dates is as long as the calendar, not the data."""
     grow = Window.orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)
-    out = book(top_weights(spark, d)).withColumn("nav", F.product(1 + F.col("net")).over(grow))
-    out = out.withColumn("drawdown", F.col("nav") / F.max("nav").over(grow) - 1).withColumn("excess", F.sum("net").over(grow))
-    return rounded(out.select("datetime", "nav", "drawdown", "excess"), "nav", "drawdown", "excess")
+    out = daily.withColumn("nav", F.product(1 + F.col("net")).over(grow))
+    return out.withColumn("drawdown", F.col("nav") / F.max("nav").over(grow) - 1).withColumn("excess", F.sum("net").over(grow))
+
+
+def q_drawdown(spark, d):
+    return rounded(curve(book(top_weights(spark, d))).select("datetime", "nav", "drawdown", "excess"), "nav", "drawdown", "excess")
 
 
 def q_strategy(spark, d, periods: float = 12.0):
-    out = q_drawdown(spark, d).join(book(top_weights(spark, d)), "datetime")
-    first = F.min("datetime").over(Window.partitionBy(F.lit(1)))
-    out = out.withColumn("later", F.col("datetime") > first)
+    """One computation of the book; the first date's turnover, from nothing, is left out."""
+    out = curve(book(top_weights(spark, d)))
+    out = out.withColumn("later", F.lag("datetime").over(Window.orderBy("datetime")).isNotNull())
     found = out.agg(
         (F.avg("net") / F.stddev_samp("net") * F.sqrt(F.lit(periods))).alias("net_ir"),
         (F.pow(F.product(1 + F.col("net")), F.lit(periods) / F.count("net")) - 1).alias("net_arr"),
         F.min("drawdown").alias("mdd"),
         F.avg(F.when(F.col("later"), F.col("turnover"))).alias("turnover"),
+        (F.avg(F.col("gross") - F.col("net")) * 1e4).alias("cost_bps"),
     )
-    return rounded(found, "net_ir", "net_arr", "mdd", "turnover")
+    return rounded(found, "net_ir", "net_arr", "mdd", "turnover", "cost_bps")
 
 
 # Joins, sets, aggregates --------------------------------------------------------------
@@ -262,7 +281,7 @@ def q_dedup_last(spark, d):
 
 def q_setops(spark, d):
     a = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).distinct()
-    b = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("k")).distinct()
+    b = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k")).distinct()
     tag = lambda df, t: df.select("k", F.lit(t).alias("op"))
     return tag(a.intersect(b), "both").unionByName(tag(a.exceptAll(b), "left")).unionByName(tag(a.union(b).distinct(), "any"))
 
@@ -286,7 +305,15 @@ def q_vector_topk(spark, d, k: int = 5, least: float = 0.1):
     e = e.withColumn("n", norm(F.col("v")))
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"), F.col("n").alias("qn"))
     dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    near = e.join(F.broadcast(q), F.col("vec_id") != F.col("query")).withColumn("sim", dot / (F.col("n") * F.col("qn"))).where(F.col("sim") > least)
+    # A hundredth of the rows: broadcast while small, else both sides are dealt in blocks, every pair of blocks once.
+    n = q.count()
+    if n <= 20_000:
+        both = e.join(F.broadcast(q), F.col("vec_id") != F.col("query"))
+    else:
+        parts = -(-n // 20_000)
+        q = q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(parts)))
+        both = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>"))).join(q, "block").where("vec_id <> query")
+    near = both.withColumn("sim", dot / (F.col("n") * F.col("qn"))).where(F.col("sim") > least)
     w = Window.partitionBy("query").orderBy(F.col("sim").desc(), "vec_id")
     return rounded(near.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).select("query", "vec_id", F.col("rk").cast("long").alias("rk"), "sim"), "sim")
 
@@ -296,10 +323,15 @@ def q_year_ic(spark, d):
     return rounded(out.where("n >= 6"), "ic")
 
 
+def clean_rank(rows: DataFrame, column: str) -> DataFrame:
+    """instrument, datetime, v: missing and infinite values as 0, ranked by date from 0 to 1, centred; a group of one has rank 1."""
+    c = F.col(column)
+    clean = rows.select("instrument", "datetime", F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(c).alias("c"))
+    return clean.select("instrument", "datetime", (pct_rank(F.col("c"), "datetime") - 0.5).alias("v"))
+
+
 def q_clean_rank(spark, d):
-    """Missing and infinite values as 0, ranked, centred."""
-    rows = panel(spark, d).select("instrument", "datetime", F.coalesce("x", F.lit(0.0)).alias("c"))
-    return rounded(rows.select("instrument", "datetime", (pct_rank(F.col("c"), "datetime") - 0.5).alias("v")), "v")
+    return rounded(clean_rank(panel(spark, d), "x"), "v")
 
 
 def _r(*names: str, keep: str = "") -> str:
@@ -316,7 +348,7 @@ _Q = {
     ),
     "decay_block": (
         q_decay,
-        f"{_LABELLED_SQL}, p as (select part, avg(ic) as ic from (select *, ntile({SPLITS}) over (order by datetime) as part from ics) group by part), f as (select regr_slope(ic, part) as slope, arg_max(ic, part) as last, arg_min(ic, part) as first from p) select {_r('slope', 'first', 'last')} from f",
+        f"{_LABELLED_SQL}, p as (select part, avg(ic) as ic from (select *, ntile({SPLITS}) over (order by datetime) as part from ics) group by part), f as (select regr_slope(ic, part) as slope, arg_max(ic, part) as last, arg_min(ic, part) as first, (select avg(ic) from ics) as mean from p), g as (select *, greatest(-1, least(1, slope * {SPLITS - 1} / greatest(abs(mean), 1e-8))) as change, last / first as ratio from f), h as (select *, mean * (1 - 0.5 * greatest(0, -change)) as kept from g) select {_r('slope', 'first', 'last', 'change', 'kept', 'ratio')} from h",
     ),
     "ic_by_year": (q_year_ic, f"{_LABELLED_SQL}, f as (select year(datetime) as year, avg(ic) as ic, count(*) as n from ics group by 1 having count(*) >= 6) select {_r('ic', keep='year, n')} from f"),
     "rho_max": (
@@ -340,7 +372,7 @@ _Q = {
     "drawdown": (q_drawdown, f"{_TOP_SQL}{_NAV} select {_r('nav', 'drawdown', 'excess', keep='datetime')} from dd"),
     "strategy_metrics": (
         q_strategy,
-        f"{_TOP_SQL}{_NAV}, f as (select avg(net) / stddev_samp(net) * sqrt(12) as net_ir, power(product(1 + net), 12.0 / count(*)) - 1 as net_arr, min(drawdown) as mdd, avg(turnover) filter (where datetime > (select min(datetime) from dd)) as turnover from dd) select {_r('net_ir', 'net_arr', 'mdd', 'turnover')} from f",
+        f"{_TOP_SQL}{_NAV}, f as (select avg(net) / stddev_samp(net) * sqrt(12) as net_ir, power(product(1 + net), 12.0 / count(*)) - 1 as net_arr, min(drawdown) as mdd, avg(turnover) filter (where datetime > (select min(datetime) from dd)) as turnover, avg(gross - net) * 1e4 as cost_bps from dd) select {_r('net_ir', 'net_arr', 'mdd', 'turnover', 'cost_bps')} from f",
     ),
     "join_outer": (q_join("full"), f"select coalesce(a.k, b.k) as k, coalesce(a.day, b.day) as day, qty, total from {_A} full join {_B} on a.k = b.k and a.day = b.day"),
     "join_inner": (q_join("inner"), f"select a.k, a.day, qty, total from {_A} join {_B} on a.k = b.k and a.day = b.day"),
@@ -354,9 +386,9 @@ _Q = {
     "dedup_last": (q_dedup_last, "select user_id, event_type, event_id from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1"),
     "setops": (
         q_setops,
-        "with a as (select distinct c_nationkey as k from customer), b as (select distinct s_nationkey as k from supplier where s_suppkey % 3 = 0) select k, 'both' as op from (select k from a intersect select k from b) union all select k, 'left' from (select k from a except select k from b) union all select k, 'any' from (select k from a union select k from b)",
+        "with a as (select distinct c_nationkey as k from customer), b as (select distinct s_nationkey as k from supplier where s_acctbal > 5000) select k, 'both' as op from (select k from a intersect select k from b) union all select k, 'left' from (select k from a except select k from b) union all select k, 'any' from (select k from a union select k from b)",
     ),
-    "pivot_unpivot": (q_pivot, "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as n_f, count(*) filter (where o_orderstatus = 'O') as n_o, count(*) filter (where o_orderstatus = 'P') as n_p from orders group by 1"),
+    "pivot": (q_pivot, "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as n_f, count(*) filter (where o_orderstatus = 'O') as n_o, count(*) filter (where o_orderstatus = 'P') as n_p from orders group by 1"),
     "rollup_total": (q_rollup, f"with f as (select coalesce(lang, 'all') as lang, avg(quality) as quality, avg(toxic) as toxic, count(*) as n from labels join documents using (doc_id) group by rollup (lang)) select {_r('quality', 'toxic', keep='lang, n')} from f"),
     "vector_topk": (
         q_vector_topk,
