@@ -140,6 +140,11 @@ def _ago(pick):
     return apply
 
 
+def _index(pick):
+    """Place of the extreme in its window, the oldest row being 1; of ties the oldest."""
+    return lambda x, p=5: F.array_position(F.collect_list(x).over(rows(p)), pick(F.collect_list(x).over(rows(p)))).cast("double")
+
+
 def _corr(a, b, p=5):
     a2, b2 = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
     w = rows(p)
@@ -269,6 +274,8 @@ WINDOWED = {
     "TS_ARGMIN": _ago(F.array_min),
     "HIGHDAY": lambda x, p=5: _ago(F.array_max)(x, p) + 1,
     "LOWDAY": lambda x, p=5: _ago(F.array_min)(x, p) + 1,
+    "IDXMAX": _index(F.array_max),
+    "IDXMIN": _index(F.array_min),
     "TS_CORR": _corr,
     "TS_COVARIANCE": _cov,
     "REGBETA": _regbeta,
@@ -316,4 +323,6 @@ COMPOSED |= {
     name: (lambda f: lambda x, p: Call(f, (x, Call("ROWID", ()), p)))(inner)
     for name, inner in {"TS_SLOPE": "REGSLOPE", "TS_RSQUARE": "REGR2", "TS_RESI": "REGREST"}.items()
 }
+#: A sequence 1..n against a window of n rows: only differences of its values count, so the row number stands for it.
+COMPOSED["SEQUENCE"] = lambda n=Num(1.0): Call("ROWID", ())
 SCALAR["ZERO"] = lambda x: F.coalesce(_number(x), F.lit(0.0))

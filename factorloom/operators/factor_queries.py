@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.plans.compiler import evaluate
-from factorloom.plans.libraries import COMPACT_20, wide_158
+from factorloom.plans.libraries import COMPACT_20, multi_span_66, wide_158
 from factorloom.sources.panel import BARS_SQL, bars
 
 PLACES = 6
@@ -83,6 +83,43 @@ def _ema(x: str, span: int) -> str:
     return f"sum({x} * {q}) / sum(case when {x} is not null then {q} end)"
 
 
+def _corr_w(a: str, b: str, p: int) -> str:
+    """Correlation over a window of the rows where both are known."""
+    x, y = f"case when {b} is not null then {a} end", f"case when {a} is not null then {b} end"
+    sd = [f"stddev_samp({v}) {_w(p)}" for v in (x, y)]
+    return f"case when count({x}) {_w(p)} >= 2 and {sd[0]} > 0 and {sd[1]} > 0 then covar_samp({x}, {y}) {_w(p)} / ({sd[0]} * {sd[1]}) end"
+
+
+def _family_sql(name: str, p: int) -> str:
+    """SQL of one rolling family over ``p`` rows; ``g`` has c1, v1 (the last close, volume), d, dv and wt."""
+    w = _w(p)
+    up, down, whole = (lambda s: f"sum(case when {s} > 0 then {s} when {s} is not null then 0 end) {w}"), (lambda s: f"sum(case when {s} < 0 then -{s} when {s} is not null then 0 end) {w}"), (lambda s: f"(sum(abs({s})) {w} + 1e-12)")
+    sums = {f"{lead}SUM{k}": f"({t}) / {whole(s)}" for lead, s in (("", "d"), ("V", "dv")) for k, t in (("P", up(s)), ("N", down(s)), ("D", f"{up(s)} - {down(s)}"))}
+    rise, fall = f"sum(case when close > c1 then 1.0 else 0 end) {w}", f"sum(case when close < c1 then 1.0 else 0 end) {w}"
+    imax, imin = f"(arg_max(rn, (high, -rn)) {w} - min(rn) {w} + 1)", f"(arg_min(rn, (low, rn)) {w} - min(rn) {w} + 1)"
+    return (sums | {
+        "ROC": f"lag(close, {p}) {HIST} / close", "MA": f"avg(close) {w} / close", "STD": f"stddev_samp(close) {w} / close", "BETA": f"regr_slope(close, rn) {w} / close",
+        "RSQR": f"regr_r2(close, rn) {w}", "RESI": f"(close - (regr_slope(close, rn) {w} * rn + regr_intercept(close, rn) {w})) / close", "MAX": f"max(high) {w} / close", "MIN": f"min(low) {w} / close",
+        "QTLU": f"quantile_cont(close, 0.8) {w} / close", "QTLD": f"quantile_cont(close, 0.2) {w} / close",
+        "RANK": f"list_sum(list_transform(list(close) {w}, lambda v: case when v < close then 1.0 when v = close then 0.5 else 0 end)) / count(close) {w} + 0.5 / count(close) {w}",
+        "RSV": f"(close - min(low) {w}) / (max(high) {w} - min(low) {w} + 1e-12)", "IMAX": f"{imax} / {p}", "IMIN": f"{imin} / {p}", "IMXD": f"({imax} - {imin}) / {p}",
+        "CORR": _corr_w("close", "ln(volume + 1)", p), "CORD": _corr_w("(close / c1)", "ln(volume / v1 + 1)", p),
+        "CNTP": f"{rise} / count(*) {w}", "CNTN": f"{fall} / count(*) {w}", "CNTD": f"({rise} - {fall}) / count(*) {w}",
+        "VMA": f"avg(volume) {w} / (volume + 1e-12)", "VSTD": f"stddev_samp(volume) {w} / (volume + 1e-12)", "WVMA": f"stddev_samp(wt) {w} / (avg(wt) {w} + 1e-12)",
+    })[name]
+
+
+_SHAPES = {"MID": "(close - open)", "UP": "(high - greatest(open, close))", "LOW": "(least(open, close) - low)", "SFT": "(2 * close - high - low)"}
+
+
+def _wide_sql(library: dict[str, str]) -> str:
+    fixed = {"KLEN": "(high - low) / open"} | {f"K{n}": f"{t} / open" for n, t in _SHAPES.items()} | {f"K{n}2": f"{t} / (high - low + 1e-12)" for n, t in _SHAPES.items()}
+    fixed |= {f"{c.upper()}0": f"{c} / close" for c in ("open", "high", "low", "vwap")}
+    split = lambda n: (n.rstrip("0123456789"), int(n[len(n.rstrip("0123456789")) :]))
+    more = f", h as (select *, lag(close) {HIST} as c1, lag(volume) {HIST} as v1 from r), g as (select *, close - c1 as d, volume - v1 as dv, abs(close / c1 - 1) * volume as wt from h)"
+    return _sql({n: fixed[n] if n in fixed else _family_sql(*split(n)) for n in library}, "g", more)
+
+
 # name -> (expressions, SQL)
 _F: dict[str, tuple[dict[str, str], str | None]] = {
     "cs_rank": ({"v": "RANK($x)"}, _sql({"v": _rank_sql("x")})),
@@ -139,13 +176,27 @@ _F: dict[str, tuple[dict[str, str], str | None]] = {
     "ts_sumif": ({"v": "SUMIF($y, 6, $x > 2)"}, _sql({"v": f"sum(case when x > 2 then y else 0 end) {_w(6)}"})),
     "ts_filter": ({"v": "FILTER($x, $y > 30)"}, _sql({"v": "case when y > 30 then x else x * 0 end"})),
     "ts_pctchange": ({"v": "TS_PCTCHANGE($x, 2)"}, _sql({"v": "coalesce(" + _div("x", "l") + " - 1, 0)"}, "g", f", g as (select *, lag(x, 2) {HIST} as l from r)")),
-    "ts_mad": ({"v": "TS_MAD($z, 7)"}, _pairs({"v": "mad(bz)"}, 7)),
+    "ts_mad": ({"v": "TS_MAD($z * 10000, 7)"}, _pairs({"v": "mad(bz * 10000)"}, 7)),
     "sma": ({"m": "SMA($x, 5)", "e": "SMA($x, 5, 2)"}, _pairs({"m": "avg(bx) filter (brn > a.rn - 5)", "e": "sum(bx * power(0.6, a.rn - brn)) / sum(case when bx is not null then power(0.6, a.rn - brn) end)"}, 9999)),
     "ema": ({"v": "EMA($x, 6)"}, _pairs({"v": _ema("bx", 6)}, 9999)),
     "wma": ({"v": "WMA($x, 6)"}, _pairs({"v": "case when count(bx) = count(*) then sum(bx * power(0.9, a.rn - brn)) / sum(power(0.9, a.rn - brn)) end"}, 6)),
     "decaylinear": ({"v": "DECAYLINEAR($x, 5)"}, _pairs({"v": "case when count(bx) = count(*) then sum(bx * (least(a.rn, 5) - (a.rn - brn))) / 15.0 end"}, 5)),
     "macd": ({"v": "MACD($z)"}, _pairs({"v": f"{_ema('bz', 12)} - {_ema('bz', 26)}"}, 9999)),
-    "rsi": ({"v": "RSI($z)"}, None),
+    "rsi": (
+        {"v": "RSI($z)"},
+        f"{PANEL_SQL}, g as (select instrument, datetime, rn, z - lag(z) {HIST} as d from r), u as (select *, case when d > 0 then d else 0 end as up, case when d < 0 then -d else 0 end as dn from g),"
+        " e as (select a.instrument, a.datetime, sum(b.up * power(13.0 / 15, a.rn - b.rn)) as up, sum(b.dn * power(13.0 / 15, a.rn - b.rn)) as dn from u a join u b on a.instrument = b.instrument and b.rn <= a.rn group by 1, 2)"
+        " select instrument, datetime, round(case when dn = 0 then case when up > 0 then 100.0 end else 100 - 100 / (1 + up / dn) end, 6) + 0.0 as v from e",
+    ),
+    "ts_argmax_null": (
+        {"hi": "TS_ARGMAX($x, 5)", "lo": "LOWDAY($x, 5)"},
+        _pairs({"hi": "a.rn - coalesce(min(brn) filter (where bx is null), arg_max(brn, (bx, -brn)))", "lo": "1 + a.rn - coalesce(min(brn) filter (where bx is null), arg_min(brn, (bx, brn)))"}, 5),
+    ),
+    "ts_sequence": (
+        {"b": "REGBETA($z, SEQUENCE(6), 6)", "c": "TS_CORR($z, SEQUENCE(6), 6)", "e": "REGRESI($z, SEQUENCE(6), 6)"},
+        _sql({"b": f"case when rn >= 6 then regr_slope(z, rn) {_w(6)} end", "c": f"case when rn >= 2 and stddev_samp(z) {_w(6)} > 0 then covar_samp(z, rn) {_w(6)} / (stddev_samp(z) {_w(6)} * stddev_samp(rn) {_w(6)}) end",
+              "e": f"case when rn >= 6 then z - (regr_slope(z, rn) {_w(6)} * rn + regr_intercept(z, rn) {_w(6)}) end"}),
+    ),
     "bollinger": (
         {"m": "BB_MIDDLE($z, 10)", "u": "BB_UPPER($z, 10)", "l": "BB_LOWER($z, 10)"},
         _sql({"m": f"avg(z) {_w(10)}", "u": f"avg(z) {_w(10)} + stddev_samp(z) {_w(10)}", "l": f"avg(z) {_w(10)} - stddev_samp(z) {_w(10)}"}),
@@ -174,7 +225,8 @@ _F: dict[str, tuple[dict[str, str], str | None]] = {
             f", g as (select *, lag(close, 10) {HIST} as l10, avg(close) {_w(5)} as m5, stddev_samp(volume) {_w(10)} as vs from r), h as (select *, -1 * coalesce(close / l10 - 1, 0) as neg from g)",
         ),
     ),
-    "alpha158": (wide_158(), None),
+    "alpha158": (wide_158(), _wide_sql(wide_158())),
+    "alpha66": (multi_span_66(), _wide_sql(multi_span_66())),
     "alpha158_20": (
         COMPACT_20,
         _sql(

@@ -41,6 +41,9 @@ def wide_158() -> dict[str, str]:
     out |= {f"{f.upper()}0": f"${f}/$close" for f in ("open", "high", "low", "vwap")}
     move, vmove = "DELTA($close,1)", "DELTA($volume,1)"
     weight = "(ABS($close/DELAY($close,1)-1)*$volume)"
+    # Rows present in the window, fewer than its span at the start.
+    present = "COUNT($close==$close,{p})"
+    # The rolling families.
     rolling = {
         "ROC": "DELAY($close,{p})/$close",
         "MA": "TS_MEAN($close,{p})/$close",
@@ -54,14 +57,14 @@ def wide_158() -> dict[str, str]:
         "QTLD": "TS_QUANTILE($close,{p},0.2)/$close",
         "RANK": "TS_RANK($close,{p})",
         "RSV": f"($close-TS_MIN($low,{{p}}))/(TS_MAX($high,{{p}})-TS_MIN($low,{{p}})+{eps})",
-        "IMAX": "HIGHDAY($high,{p})/{p}",
-        "IMIN": "LOWDAY($low,{p})/{p}",
-        "IMXD": "(HIGHDAY($high,{p})-LOWDAY($low,{p}))/{p}",
+        "IMAX": "IDXMAX($high,{p})/{p}",
+        "IMIN": "IDXMIN($low,{p})/{p}",
+        "IMXD": "(IDXMAX($high,{p})-IDXMIN($low,{p}))/{p}",
         "CORR": "TS_CORR($close,LOG($volume),{p})",
         "CORD": "TS_CORR($close/DELAY($close,1),LOG($volume/DELAY($volume,1)),{p})",
-        "CNTP": "COUNT($close>DELAY($close,1),{p})/{p}",
-        "CNTN": "COUNT($close<DELAY($close,1),{p})/{p}",
-        "CNTD": "(COUNT($close>DELAY($close,1),{p})-COUNT($close<DELAY($close,1),{p}))/{p}",
+        "CNTP": f"COUNT($close>DELAY($close,1),{{p}})/{present}",
+        "CNTN": f"COUNT($close<DELAY($close,1),{{p}})/{present}",
+        "CNTD": f"(COUNT($close>DELAY($close,1),{{p}})-COUNT($close<DELAY($close,1),{{p}}))/{present}",
         "VMA": "TS_MEAN($volume,{p})/($volume+1e-12)",
         "VSTD": "TS_STD($volume,{p})/($volume+1e-12)",
         "WVMA": f"TS_STD({weight},{{p}})/(TS_MEAN({weight},{{p}})+{eps})",
@@ -71,3 +74,28 @@ def wide_158() -> dict[str, str]:
         up, down = f"TS_SUM(MAX({step},0),{{p}})", f"TS_SUM(MAX(-({step}),0),{{p}})"
         rolling |= {f"{lead}SUMP": f"{up}/{whole}", f"{lead}SUMN": f"{down}/{whole}", f"{lead}SUMD": f"({up}-{down})/{whole}"}
     return out | {f"{n}{p}": t.replace("{p}", str(p)) for n, t in rolling.items() for p in SPANS}
+
+
+#: Spans of the third library, and of its moving families alone.
+NEAR, FAR = (5, 10, 20, 30, 60), (3, 7, 15, 40, 120)
+
+
+def multi_span_66() -> dict[str, str]:
+    """Nine families over five spans, three of them over five more, and six bar shapes."""
+    # Families of the third library.
+    moving = {"ROC": "DELAY($close,{p})/$close", "MA": "TS_MEAN($close,{p})/$close", "STD": "TS_STD($close,{p})/$close"}
+    other = {
+        "MAX": "TS_MAX($high,{p})/$close",
+        "MIN": "TS_MIN($low,{p})/$close",
+        "RSV": "($close-TS_MIN($low,{p}))/(TS_MAX($high,{p})-TS_MIN($low,{p})+1e-12)",
+        "VMA": "TS_MEAN($volume,{p})/($volume+1e-12)",
+        "VSTD": "TS_STD($volume,{p})/($volume+1e-12)",
+        "CORR": "TS_CORR($close,LOG($volume),{p})",
+    }
+    out = {f"{n}{p}": t.replace("{p}", str(p)) for p in NEAR for n, t in (moving | other).items()}
+    out |= {f"{n}{p}": t.replace("{p}", str(p)) for p in FAR for n, t in moving.items()}
+    shapes = wide_158()
+    return out | {n: shapes[n] for n in ("KMID", "KLEN", "KMID2", "KUP", "KLOW", "KSFT")}
+
+
+LIBRARIES = {"compact_20": lambda: dict(COMPACT_20), "wide_158": wide_158, "multi_span_66": multi_span_66}
