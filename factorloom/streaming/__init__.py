@@ -1 +1 @@
-
+"""Streaming forms of event bars, sessions and ledgers."""
