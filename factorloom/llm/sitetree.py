@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -39,13 +41,12 @@ MAIN_PRIOR, LOW_PRIOR = 0.25, 1.0
 #: Judged nodes that may be broadcast; beyond, they are joined by host.
 BROADCAST_NODES = 100_000
 
-_PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|title|textarea|noscript|svg|iframe|select|button)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][\w:-]*")
+_PLAIN = re.compile(r"[^\"'>]*")
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
+#: Tags with unbalanced quotes after which quotes of a page are no longer heeded: its time stays linear.
+_BROKEN = 16
 
 # Elements that begin a block, elements with a role, and class words with a role.
 BLOCKS = frozenset(
@@ -59,25 +60,105 @@ LOW_WORDS = frozenset(
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related "
     "recommended replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Elements whose content is no text; those that an unfinished one hides the rest of the page.
+_UNSEEN = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style template title textarea noscript svg iframe select button".split()}
+_TO_THE_END = frozenset("script style title textarea".split())
 COMMENT_WORDS = frozenset("comment comments disqus replies reply respond".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def _role(tag: str, names: list[str], inside: bool) -> int | None:
+def _role(tag: str, words: set[str], inside: bool) -> int | None:
     """0 or 1 where presentation tells the importance of an element, else None."""
     if tag in LOW_TAGS or (tag == "header" and not inside):
         return 0
-    words = {w for n in names for w in _SPLIT.split(n.lower())}
     # An article may bear such a word in its own class.
     if words & LOW_WORDS and tag not in ("body", "html") and not (tag in MAIN_TAGS and not words & {"comment", "comments"}):
         return 0
     return 1 if tag in MAIN_TAGS else None
 
 
-def blocks(source: str) -> list[tuple[str, int | None, str]]:
-    """(node path, role, text) of each block with text, in page order."""
-    out: list[tuple[str, int | None, str]] = []
-    stack: list[tuple[str, str, int | None]] = []  # tag, path, role (0 is inherited by all below)
+def pieces(source: str) -> Iterator[tuple[str, bool, str]]:
+    """Text ("", False, text) and tags (name, whether it ends one, attributes) of a page, in time linear in its length.
+
+    Comments, declarations and the content of unseen elements are left out; a "<" that begins no
+    tag is text, as is everything after the last ">".
+    """
+    at, i, last, broken = 0, 0, source.rfind(">"), 0
+    absent: set[str] = set()
+    while (j := source.find("<", i)) >= 0 and j < last:
+        mark = source[j + 1]
+        name = _NAME.match(source, j + 2 if mark == "/" else j + 1)
+        if source.startswith("<!--", j):
+            end = source.find("-->", j + 4)
+            if at < j:
+                yield "", False, source[at:j]
+            at = i = len(source) if end < 0 else end + 3
+            continue
+        if mark in "!?":
+            name, end = None, source.find(">", j)
+        elif name is None:
+            i = j + 1
+            continue
+        else:
+            end, p = -1, name.end()
+            while broken < _BROKEN:
+                p = _PLAIN.match(source, p).end()
+                if p > last:
+                    broken += 1
+                    break
+                if source[p] == ">":
+                    end = p
+                    break
+                close = source.find(source[p], p + 1) if source[p] not in absent else -1
+                if close < 0:
+                    absent.add(source[p])
+                p = p + 1 if close < 0 else close + 1
+            if end < 0:
+                end = source.find(">", name.end())
+        if at < j:
+            yield "", False, source[at:j]
+        at = i = end + 1
+        if name is None:
+            continue
+        tag, attrs = name.group().lower(), source[name.end() : end]
+        closer = _UNSEEN.get(tag)
+        if closer and mark != "/" and not (tag == "svg" and attrs.endswith("/")):
+            found = closer.search(source, at) if tag not in absent else None
+            if found:
+                at = i = found.end()
+            else:
+                absent.add(tag)
+                if tag in _TO_THE_END:
+                    at = i = len(source)
+            continue
+        yield tag, mark == "/", attrs
+    if at < len(source):
+        yield "", False, source[at:]
+
+
+class Block(NamedTuple):
+    """A block of text: its node and its parent's, its role, whether it is in an article, among comments, and the text."""
+
+    node: int
+    parent: int
+    role: int | None
+    inside: bool
+    comment: bool
+    text: str
+
+
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
+_ROOT = ("", 0, 0, None, False, False)
+
+
+def blocks(source: str) -> list[Block]:
+    """The blocks with text of a page, in order.  A node is the hash of its path of elements with their classes."""
+    out: list[Block] = []
+    stack = [_ROOT]  # tag, node, parent, role (0 is inherited by all below), inside, comment
+    opened: dict[str, int] = {}
     held: list[str] = []
 
     def close():
@@ -85,16 +166,16 @@ def blocks(source: str) -> list[tuple[str, int | None, str]]:
             text = " ".join(htmllib.unescape("".join(held)).split())
             held.clear()
             if text:
-                _, path, role = stack[-1] if stack else ("", "", None)
-                out.append((path, role, text))
-
-    at = 0
-    for m in _PIECE.finditer(source):
-        if m.start() > at:
-            held.append(source[at : m.start()])
-        at = m.end()
-        tag = (m.group(3) or "").lower()
+                out.append(Block(*stack[-1][1:], text))
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
+    for tag, ends, rest in pieces(source):
         if not tag:
+            held.append(rest)
             continue
         if tag in _VOID:
             if tag == "hr":
@@ -103,28 +184,28 @@ def blocks(source: str) -> list[tuple[str, int | None, str]]:
                 held.append(" ")
             continue
         block = tag in BLOCKS
-        if m.group(2):
-            if any(tag == t for t, _, _ in stack):
+        if ends:
+            if opened.get(tag):
                 if block:
                     close()
-                    while stack.pop()[0] != tag:
+                    while pop() != tag:
                         pass
                 elif stack[-1][0] == tag:
                     close()
-                    stack.pop()
+                    pop()
             elif block:
                 close()
             continue
-        attrs = m.group(4)
-        names = [b or c or d or "" for _, b, c, d in _NAMES.findall(attrs)] if "=" in attrs else []
+        names = [b or c or d or "" for _, b, c, d in _NAMES.findall(rest)] if "=" in rest else []
+        words = {w for n in names for w in _SPLIT.split(n.lower())}
         if block:
             close()
-            while stack and stack[-1][0] == "p":
-                stack.pop()
-            if tag in ("li", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == tag:
-                stack.pop()
-        above = stack[-1][2] if stack else None
-        role = 0 if above == 0 else _role(tag, names, any(t in MAIN_TAGS for t, _, _ in stack))
+            while stack[-1][0] == "p":
+                pop()
+            if tag in ("li", "td", "th", "tr", "dt", "dd") and stack[-1][0] == tag:
+                pop()
+        _, node, _, above, inside, comment = stack[-1]
+        role = 0 if above == 0 else _role(tag, words, inside)
         if not block and role != 0:
             continue
         if not block:
@@ -132,9 +213,8 @@ def blocks(source: str) -> list[tuple[str, int | None, str]]:
         if role is None:
             role = above
         label = tag + "".join("." + re.sub(r"\d+", "0", n) for n in names)
-        stack.append((tag, f"{stack[-1][1]}/{label}" if stack else label, role))
-    if at < len(source):
-        held.append(source[at:])
+        stack.append((tag, _hash(label, node), node, role, inside or tag in MAIN_TAGS, comment or bool(words & COMMENT_WORDS)))
+        opened[tag] = opened.get(tag, 0) + 1
     close()
     return out
 
@@ -145,18 +225,6 @@ def _host(url: str | None) -> str | None:
     return url.split("://", 1)[-1].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0].split("@")[-1].lower()
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def _inside(path: str) -> bool:
-    return any(x.split(".", 1)[0] in MAIN_TAGS for x in path.split("/"))
-
-
-def _comment(path: str) -> bool:
-    return bool(COMMENT_WORDS & {w for x in path.split("/") for n in x.split(".")[1:] for w in _SPLIT.split(n.lower())})
-
-
 def style_tree(pages: DataFrame) -> DataFrame:
     """host, node, n_pages, importance of all nodes."""
 
@@ -164,15 +232,17 @@ def style_tree(pages: DataFrame) -> DataFrame:
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
             for url, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen: dict[str, list[str]] = {}
-                layout: dict[str, list[str]] = {}
-                for path, _, block in blocks(text or ""):
-                    seen.setdefault(path, []).append(block)
-                    layout.setdefault(path.rpartition("/")[0], []).append(path)
+                seen: dict[int, list[str]] = {}
+                layout: dict[int, list[str]] = {}
+                above: dict[int, int] = {}
+                for x in blocks(text or ""):
+                    seen.setdefault(x.node, []).append(x.text)
+                    layout.setdefault(x.parent, []).append(str(x.node))
+                    above[x.node] = x.parent
+                looks = {p: _hash(" ".join(nodes)) for p, nodes in layout.items()}
                 page = _hash(text or "")
-                for path, parts in seen.items():
-                    look = _hash(" ".join(layout[path.rpartition("/")[0]]))
-                    for c, v in zip(cols, (_host(url), _hash(path), _hash(" ".join(parts)), look, page), strict=True):
+                for node, parts in seen.items():
+                    for c, v in zip(cols, (_host(url), node, _hash(" ".join(parts)), looks[above[node]], page), strict=True):
                         c.append(v)
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             names = ["host", "node", "content", "look", "page"]
@@ -195,19 +265,18 @@ def style_tree(pages: DataFrame) -> DataFrame:
 def main_text(source: str, known: dict[int, float]) -> str:
     """The text of a page; ``known`` has the importance of its host's nodes."""
     kept, article, rest = [], [], []
-    for path, role, text in blocks(source):
-        e = known.get(_hash(path))
-        inside = _inside(path)
-        if role == 0 and (_comment(path) or e is None):
+    for x in blocks(source):
+        e = known.get(x.node)
+        if x.role == 0 and (x.comment or e is None):
             continue
-        if role == 0:
+        if x.role == 0:
             if (e / (1 + LOW_PRIOR)) >= LOW:
-                (kept if inside else rest).append(text)
+                (kept if x.inside else rest).append(x.text)
             continue
-        if inside:
-            article.append(text)
-        if e is None or (e if role is None else (e + MAIN_PRIOR) / (1 + MAIN_PRIOR)) >= LOW:
-            kept.append(text)
+        if x.inside:
+            article.append(x.text)
+        if e is None or (e if x.role is None else (e + MAIN_PRIOR) / (1 + MAIN_PRIOR)) >= LOW:
+            kept.append(x.text)
     return " ".join(kept or article or rest)
 
 
@@ -216,20 +285,45 @@ def extract(pages: DataFrame) -> DataFrame:
     src = only(pages, page_id="long", url="string", html="string")
     small_batches(src.sparkSession, 128)
     judged = written(style_tree(src).where(F.col("n_pages") >= MIN_PAGES).select("host", "node", "importance"), "nodes")
-    per_host = judged.groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("known"))
-    n_nodes = judged.count()
-    name = F.lower(F.regexp_extract("url", r"^(?:[^/?#]*?://)?(?:[^/?#@]*@)?([^/?#]*)", 1))
-    side = F.broadcast(per_host) if n_nodes <= BROADCAST_NODES else per_host
-    rows = src.withColumn("h", name).join(side.withColumnRenamed("host", "h2"), F.col("h").eqNullSafe(F.col("h2")), "left").select("page_id", "url", "html", "known")
+    def batch(b, texts):
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    def run(batches):
+    schema = "page_id long, url string, text string"
+    if judged.count() <= BROADCAST_NODES:
+        by_host: dict = {}
+        for r in judged.collect():
+            by_host.setdefault(r.host, {})[r.node] = r.importance
+        shared = src.sparkSession.sparkContext.broadcast(by_host)
+
+        def run(batches):
+            for b in batches:
+                urls, sources = b.column(1).to_pylist(), b.column(2).to_pylist()
+                yield batch(b, [main_text(x or "", shared.value.get(_host(u), {})) for u, x in zip(urls, sources, strict=True)])
+
+        return src.mapInArrow(run, schema)
+
+    # Each page gets its own nodes alone: looked up by (host, node), so that no host is dealt whole.
+    rows = written(src.withColumn("row", F.monotonically_increasing_id()), "pages")
+
+    def nodes(batches):
+        for b in batches:
+            ids, hosts, found = [], [], []
+            for row, url, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                some = {x.node for x in blocks(text or "")}
+                ids += [row] * len(some)
+                hosts += [_host(url)] * len(some)
+                found += some
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["row", "h", "node"])
+
+    def look(batches):
         for b in batches:
-            texts = []
-            for source, nodes in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                texts.append(main_text(source or "", {x["node"]: x["importance"] for x in nodes or ()}))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            sources, known = b.column(2).to_pylist(), b.column(3).to_pylist()
+            yield batch(b, [main_text(x or "", {k["node"]: k["importance"] for k in ks or ()}) for x, ks in zip(sources, known, strict=True)])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string")
+    own = rows.select("row", "url", "html").mapInArrow(nodes, "row long, h string, node long")
+    own = own.withColumnRenamed("node", "n").join(judged, F.col("h").eqNullSafe(F.col("host")) & (F.col("n") == F.col("node")))
+    per_page = own.groupBy("row").agg(F.collect_list(F.struct("node", "importance")).alias("known"))
+    return rows.join(per_page, "row", "left").select("page_id", "url", "html", "known").mapInArrow(look, schema)
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:
