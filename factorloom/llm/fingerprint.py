@@ -63,24 +63,41 @@ def likeness(a: str, b: str) -> Column:
     )
 
 
+def _followers(heads: DataFrame) -> DataFrame:
+    """__hb, __head, __guest: for each block the one before it in descending order; the lowest comes before the topmost.
+
+    Blocks are ordered within groups of about a thousand, then the groups, so that the last window has a
+    millionth of the documents.
+    """
+    groups = F.shiftright("__block", 10)
+    heads = heads.withColumn("__group", groups)
+    inner = Window.partitionBy("__group").orderBy(F.col("__block").desc())
+    heads = heads.withColumn("__before", F.lag("__block").over(inner))
+    ends = heads.groupBy("__group").agg(F.max("__block").alias("__top"), F.min("__block").alias("__bottom"))
+    order = Window.orderBy(F.col("__top").desc())
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select(F.col("__top").alias("__hb"), F.coalesce(F.lag("__bottom").over(order), F.min("__bottom").over(whole)).alias("__across"))
+    heads = heads.select("__head", F.col("__block").alias("__hb"), "__before").join(ends, "__hb", "left")
+    return heads.select("__hb", "__head", F.coalesce("__before", "__across").alias("__guest"))
+
+
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """Adds ``next_<c>`` of the next document by descending doc_id, wrapping at the end.
 
-    Ids are cut into blocks of about BLOCK_ROWS rows.  The first row of each block is also
-    sent to the block before it, as the row that follows that block's last; so one
-    shuffle by block suffices and no task sees more than a block at a time.
+    Ids are cut into blocks by their leading bits, as many bits as give blocks of about BLOCK_ROWS rows
+    wherever the ids are.  The first row of each block is also sent to the block before it, as
+    the row that follows that block's last; so one shuffle by block suffices and no task sees more
+    than a block at a time (rows of one doc_id are in one block).
     """
-    n, lo, hi = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    width = max(1, ((hi or 0) - (lo or 0) + 1) * BLOCK_ROWS // max(n, 1))
-    block = F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(-(1 << 63)))
+    shifts = range(1, 63, 2)
+    sizes = docs.agg(F.count(F.lit(1)), *(F.approx_count_distinct(F.shiftright("doc_id", k)) for k in shifts)).first()
+    n, blocks = sizes[0], dict(zip(shifts, sizes[1:], strict=True))
+    shift = max((k for k in shifts if blocks[k] * BLOCK_ROWS >= n), default=1)
+    # The lowest long is no shifted id: rows without an id are a block of their own, the last one.
+    block = F.coalesce(F.shiftright("doc_id", shift), F.lit(-(1 << 63)))
     rows = docs.withColumn("__block", block)
-    heads = rows.groupBy("__block").agg(F.max("doc_id").alias("__head"))
-    order = Window.orderBy(F.col("__block").desc())
-    # One row per block: a thousandth of the table.  The topmost head follows the lowest block.
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    guest = F.coalesce(F.lag("__block").over(order), F.min("__block").over(whole))
-    heads = heads.select("__head", F.col("__block").alias("__hb"), guest.alias("__guest"))
-    heads = F.broadcast(heads) if n // BLOCK_ROWS <= BROADCAST_HEADS else heads
+    heads = _followers(rows.groupBy("__block").agg(F.max("doc_id").alias("__head")))
+    heads = F.broadcast(heads) if blocks[shift] <= BROADCAST_HEADS else heads
     same = rows["__block"].eqNullSafe(heads["__hb"]) & rows["doc_id"].eqNullSafe(heads["__head"])
     dealt = rows.join(heads, same, "left").withColumn(
         "__at",
