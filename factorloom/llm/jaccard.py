@@ -14,12 +14,14 @@ classes are joined, not documents.
    profiles are all that verification needs.
 4. ``_chained``: classes meet at the shingles of their prefix, neighbours by size are tried,
    and what verification links is one component: as many pairs as postings.
-5. ``_across``: components that still meet at a shingle are paired.  A pair must agree in
-   size, have enough shingles left for its overlap from the first common one on, and share
-   prefix shingles under every other order (by signatures carried with the postings).
-   Likeness being a metric, components whose roots are far apart end here; members of the
-   others are paired under the same filters.  So a group of copies costs about as many
-   pairs as it has members, and no link is lost.
+5. ``_component_pairs``: components that still meet at a shingle are paired.  A pair must
+   agree in size, have enough shingles left for its overlap from the first common one on,
+   and share prefix shingles under every other order (by signatures carried with the
+   postings).  One member of each, in later rounds a few, are tried at each shingle; what is linked
+   becomes one component, and the round is repeated while it links any.
+   ``_across``: likeness being a metric, components whose roots are far apart end here;
+   members of the others are paired under the same filters.  So a group of copies costs
+   about as many pairs as it has members, and no link is lost.
 6. ``_verified``: pairs must share a prefix shingle under every order, and then reach
    the threshold by their exact overlap.
 
@@ -67,6 +69,8 @@ BLOCK_GROUP = 256
 TOKEN_BITS = 48
 #: Bits by which frequencies are counted (a clash only raises a frequency).
 COUNT_BITS = 40
+#: Rounds in which components that meet are tried by some of their members at each shingle, and how many at most.
+ROUNDS, REPS = 5, 16
 #: Global orders: by rarity, and two by hashes.
 ORDERS = (0, 1, 2)
 
@@ -402,9 +406,9 @@ def _chained(meetings: DataFrame, percent: int) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def class_links(docs: DataFrame, total: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def class_links(docs: DataFrame, total: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, bool]:
     """Verified links (a, b) of classes that together connect all that are linked; the components that the
-    first round of them gives (node, root); and the links that the second round added."""
+    first round of them gives (node, root); and whether that round found them all."""
     bits = max(0, math.ceil(math.log2(max(total, 1) / BLOCK_SHINGLES)))
     salts = max(1, math.ceil(total / BLOCK_SHINGLES / BLOCK_GROUP))
     profiles = written(_profiles(docs, _frequencies(docs, bits), bits, salts, percent), "profiles")
@@ -414,11 +418,28 @@ def class_links(docs: DataFrame, total: int, percent: int = PERCENT) -> tuple[Da
 
     # What meets at a shingle and is not in one component yet.
     placed = meetings.join(parts.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    rest, found, met = written(_apart(placed), "rest"), links, None
+    for k in range(ROUNDS):
+        met = written(_component_pairs(rest, percent, k), "met")
+        tests = written(_tests(met), "tests")
+        new = written(_verified(tests.select("a", "b").distinct(), profiles, percent), "new")
+        if not new.head(1):
+            break
+        found = found.unionByName(new)
+        merged = connected(new.join(tests, ["a", "b"]).select(F.col("root_l").alias("a"), F.col("root_r").alias("b")))
+        merged = written(merged.select(F.col("node").alias("root"), F.col("root").alias("new")), "merged")
+        rest = written(_apart(rest.join(merged, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")), "rest")
+    else:
+        met = written(_component_pairs(rest, percent, ROUNDS), "met")
+    far = written(_verified(_across(rest, met, profiles, percent), profiles, percent), "far")
+    return found.unionByName(far), parts, found is links and not far.head(1)
+
+
+def _apart(placed: DataFrame) -> DataFrame:
+    """The postings (token, v, n, rest, signatures, root) at shingles where components meet."""
     mark = F.xxhash64("root")
     mixed = placed.groupBy("token").agg(F.min(mark).alias("r0"), F.max(mark).alias("r1")).where("r0 <> r1").select("token")
-    rest = written(placed.join(mixed, "token", "left_semi"), "rest")
-    far = written(_verified(_across(rest, profiles, percent), profiles, percent), "far")
-    return links.unionByName(far), parts, far
+    return placed.join(mixed, "token", "left_semi").select("token", "v", "n", "rest", *_SIGNS, "root")
 
 
 def _may_share(percent: int, signs: list[str]) -> str:
@@ -433,22 +454,45 @@ def _may_share(percent: int, signs: list[str]) -> str:
     return f"{sizes} and {left} and {orders}"
 
 
-def _across(rest: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components that may be linked.
+_PARTS = ["root", "lo", "hi", "rest", *_SIGNS]
+
 
-    Components are paired first.  With d = 1 - likeness, which is a metric, two classes are no
-    closer than their components' roots are, less their distances to them; so components whose
-    roots are far apart are left without looking at their members' pairs.
+def _component_pairs(rest: DataFrame, percent: int, round_: int) -> DataFrame:
+    """token, root_l, root_r, reps_l, reps_r: components that may be linked where they meet, and some members of
+    each there: one in the first round, others and up to REPS later.
+
+    A shingle's members are combined by slot and then by component, before and after the shuffle, so that
+    the members of a large component meet no task whole.
     """
-    parts = ["root", "lo", "hi", "rest", *_SIGNS]
-    gathered = rest.groupBy("token", "root").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"), *(F.bit_or(c).alias(c) for c in _SIGNS)
+    slots = min(4**round_, REPS)
+    mark = F.xxhash64("v", F.lit(round_))
+    least = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"), *(F.bit_or(c).alias(c) for c in _SIGNS)]
+    rows = rest.withColumnsRenamed({"n": "lo"}).withColumns({"hi": F.col("lo"), "slot": F.pmod(mark, F.lit(slots))})
+    slotted = rows.groupBy("token", "root", "slot").agg(*least, F.min_by("v", mark).alias("rep"))
+    gathered = written(slotted.groupBy("token", "root").agg(*least, F.array_sort(F.collect_list("rep")).alias("reps")), "gathered")
+    left, right = (gathered.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ["reps", *_PARTS])) for s in "lr")
+    met = left.join(right, "token").where(F.expr(f"root_l < root_r and {_may_share(percent, _SIGNS)}"))
+    return met.select("token", "root_l", "root_r", "reps_l", "reps_r")
+
+
+def _tests(met: DataFrame) -> DataFrame:
+    """a, b, root_l, root_r: the members of one side beside those of the other, the shorter list over again."""
+    beside = F.expr(
+        "explode(transform(sequence(0, greatest(size(reps_l), size(reps_r)) - 1),"
+        " i -> struct(reps_l[i % size(reps_l)] as l, reps_r[i % size(reps_r)] as r)))"
     )
-    gathered = written(gathered, "gathered")
-    left, right = (gathered.select("token", *(F.col(c).alias(f"{c}_{s}") for c in parts)) for s in "lr")
-    pairs = left.join(right, "token").where(F.expr(f"root_l < root_r and {_may_share(percent, _SIGNS)}"))
-    pairs = written(pairs.select(F.col("root_l").alias("a"), F.col("root_r").alias("b")).distinct(), "root-pairs")
+    rows = met.select("root_l", "root_r", beside.alias("p"))
+    return rows.select(F.least("p.l", "p.r").alias("a"), F.greatest("p.l", "p.r").alias("b"), "root_l", "root_r").distinct()
+
 
+def _across(rest: DataFrame, met: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that may be linked.
+
+    With d = 1 - likeness, which is a metric, two classes are no closer than their components'
+    roots are, less their distances to them; so components whose roots are far apart are left
+    without looking at their members' pairs.
+    """
+    pairs = written(met.select(F.col("root_l").alias("a"), F.col("root_r").alias("b")).distinct(), "root-pairs")
     # Distances of members to their root, and of roots.
     some = pairs.select(F.col("a").alias("root")).unionByName(pairs.select(F.col("b").alias("root"))).distinct()
     members = rest.join(some, "root", "left_semi").select("v", "root").distinct()
@@ -460,20 +504,22 @@ def _across(rest: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     for c in "ab":
         apart = apart.join(widest.select(F.col("root").alias(c), F.col("gap").alias(f"gap_{c}")), c)
     slack = 1 - percent / 100 + 1e-9
-    close = written(apart.where(F.col("apart") <= F.col("gap_a") + F.col("gap_b") + slack).select("a", "b", "apart"), "close")
+    close = apart.where(F.col("apart") <= F.col("gap_a") + F.col("gap_b") + slack)
+    close = close.select(F.col("a").alias("root_l"), F.col("b").alias("root_r"), "apart")
+    close = written(met.select("token", "root_l", "root_r").join(close, ["root_l", "root_r"]), "close")
 
-    # Members of the components left, where they meet at a shingle.
+    # Members of the components left, where those meet at a shingle.
     each = rest.join(members, ["v", "root"]).withColumnsRenamed({"n": "lo"}).withColumn("hi", F.col("lo"))
-    side = lambda s: each.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ["v", "gap", *parts]))
-    met = side("l").join(close.withColumnsRenamed({"a": "root_l", "b": "root_r"}), "root_l").join(side("r"), ["token", "root_r"])
-    met = met.where(F.expr(f"gap_l + gap_r + {slack} >= apart and {_may_share(percent, _SIGNS)}"))
-    return met.select(F.least("v_l", "v_r").alias("a"), F.greatest("v_l", "v_r").alias("b")).distinct()
+    side = lambda s: each.select(F.col("token"), *(F.col(c).alias(f"{c}_{s}") for c in ["v", "gap", *_PARTS]))
+    both = close.join(side("l"), ["token", "root_l"]).join(side("r"), ["token", "root_r"])
+    both = both.where(F.expr(f"gap_l + gap_r + {slack} >= apart and {_may_share(percent, _SIGNS)}"))
+    return both.select(F.least("v_l", "v_r").alias("a"), F.greatest("v_l", "v_r").alias("b")).distinct()
 
 
 def class_roots(docs: DataFrame, total: int, percent: int = PERCENT) -> DataFrame:
     """Components (node, root) of the classes of ``docs`` that are linked with others."""
-    links, parts, far = class_links(docs, total, percent)
-    return connected(links) if far.head(1) else parts
+    links, parts, whole = class_links(docs, total, percent)
+    return parts if whole else connected(links)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
