@@ -1,11 +1,13 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page_id: exact counts of equal-width id ranges give the
-shard bounds, so the same table gives the same files whatever the cluster.  Within a
-shard files roll when their compressed size passes ``ROLL_BYTES``.  Every record is a
-gzip member of its own with headers, ids and SHA-1 digests made anew from the payload.
-A file is written under a temporary name and renamed when complete; the manifest,
-written last, lists what counts.  A rerun writes the same bytes under the same names.
+Records are range-sorted by page_id.  Ids whose hash is a multiple of a number may begin a
+shard, wherever the ids are; exact byte counts between them choose those that do, so the
+same table gives the same files whatever the cluster.  Within a shard files roll when
+their compressed size passes ``ROLL_BYTES``.  Every record is a gzip member of its own with
+headers, ids and SHA-1 digests made anew from the payload.  A file is written under a
+temporary name and renamed when complete; the manifest, a file renamed into the folder
+last, lists what counts, and what failed attempts left is removed.  A rerun writes the
+same bytes under the same names.
 
 Of records with equal payloads of ``MIN_SHARED`` bytes or more the one with the largest
 page_id is the response and the others refer to it.
@@ -20,9 +22,12 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +38,17 @@ from factorloom.llm.common import fresh_path, only, read_table, small_batches, w
 MIN_SHARED = 1000
 #: Compressed bytes at which a file is closed.
 ROLL_BYTES = 64 << 20
-#: Payload bytes of one shard, on average.
+#: Payload bytes of one shard, about; more where there would be over MOST_SHARDS, which bounds what the driver holds.
 SHARD_BYTES = 32 << 20
-#: Id ranges counted to choose shard bounds.
-BINS = 4096
+MOST_SHARDS = 100_000
+#: Ids that may begin a shard, for each shard, about.
+CUTS = 8
 # A fixed value, as the bytes must not depend on when they are written.
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+#: Sorts before every id: where rows without one go.
+FIRST = -(1 << 63)
+MANIFEST = "manifest.jsonl"
 _MANIFEST = "path string, shard long, records long, bytes long, sha1 string"
 
 
@@ -77,20 +86,49 @@ def record(page_id, url: str, payload: bytes, refers_to) -> bytes:
     return gzip.compress("\r\n".join(head).encode() + block + b"\r\n\r\n", 6, mtime=0)
 
 
-def _shards(pages: DataFrame) -> tuple[int, int, list[int]]:
-    """Least id, bin width and shard of each bin, from exact counts per bin."""
-    lo, hi, size = pages.agg(F.min("page_id"), F.max("page_id"), F.sum(F.length("payload"))).first()
-    lo, hi = lo or 0, hi or 0
-    width = (hi - lo) // BINS + 1
-    want = max(1, -(-(size or 0) // SHARD_BYTES))
-    per = max(1, -(-(size or 0) // want))
-    # At most BINS + 1 rows.
-    counts = dict(pages.groupBy(F.expr(f"(page_id - {lo}L) div {width}L").alias("bin")).agg(F.sum(F.length("payload"))).collect())
-    shard, held = [], 0
-    for b in range(BINS):
-        shard.append(int(held // per))
-        held += counts.get(b) or 0
-    return lo, width, shard
+def _shards(pages: DataFrame) -> np.ndarray:
+    """Ids at which a shard begins, sorted; the first shard begins before them."""
+    n, size = pages.agg(F.count(F.lit(1)), F.sum(F.length("payload"))).first()
+    want = min(MOST_SHARDS, max(1, -(-(size or 0) // SHARD_BYTES)))
+    if want == 1:
+        return np.zeros(0, np.int64)
+    some = F.pmod(F.xxhash64("page_id"), F.lit(max(1, n // (CUTS * want)))) == 0
+    cuts = np.sort(np.array([r[0] for r in pages.where(F.col("page_id").isNotNull() & some).select("page_id").distinct().collect()], np.int64))
+
+    def count(batches):
+        for b in batches:
+            at = np.searchsorted(cuts, b.column(0).to_numpy(), side="right")
+            held = np.bincount(at, weights=b.column(1).to_numpy(), minlength=len(cuts) + 1).astype(np.int64)
+            some = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(held[some], pa.int64())], names=["bin", "bytes"])
+
+    sizes = pages.select(F.coalesce("page_id", F.lit(FIRST)).alias("page_id"), F.length("payload").cast("long").alias("bytes"))
+    held = dict(sizes.mapInArrow(count, "bin long, bytes long").groupBy("bin").agg(F.sum("bytes")).collect())
+    begins, now = [], 0
+    for k in range(len(cuts) + 1):
+        if now * want >= size:
+            begins.append(cuts[k - 1])
+            now = 0
+        now += held.get(k, 0)
+    return np.array(begins, np.int64)
+
+
+def _publish(manifest: DataFrame, path: str, attempt: str) -> None:
+    """Write the manifest beside the archives, rename it last, and remove what this attempt left unfinished."""
+    disk, root = _filesystem(path)
+    disk.create_dir(root, recursive=True)
+    temp = f"{root}/.tmp-{attempt}-manifest"
+    with disk.open_output_stream(temp, compression=None) as f:
+        for r in manifest.orderBy("path").toLocalIterator():
+            f.write((json.dumps(r.asDict()) + "\n").encode())
+    disk.move(temp, f"{root}/{MANIFEST}")
+    for x in disk.get_file_info(pafs.FileSelector(root)):
+        if x.base_name.startswith(f".tmp-{attempt}"):
+            disk.delete_file(x.path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_MANIFEST).json(f"{path}/{MANIFEST}")
 
 
 def write_archives(pages: DataFrame, path: str) -> DataFrame:
@@ -117,13 +155,17 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
     looked = looked.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id"), F.col("salts").cast("long")), F.lit(0)).cast("int"))
     revisits = looked.join(salted.select("digest", "salt", "last"), ["digest", "salt"]).where("page_id is null or page_id < last")
     notes = revisits.select("page_id", F.col("digest").alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("last").alias("refers"))
-    lo, width, shard = _shards(src)
-    # Bins at which a shard begins; one per shard.
-    begins = [b for b in range(1, BINS) if shard[b] != shard[b - 1]]
+    begins = _shards(src)
     rows = src.withColumn("refers", F.lit(None).cast("long")).unionByName(notes.distinct())
-    bin_of = F.coalesce(F.expr(f"(page_id - {lo}L) div {width}L"), F.lit(0))
-    rows = rows.withColumn("shard", F.size(F.filter(F.lit(begins).cast("array<long>"), lambda b: b <= bin_of)).cast("long"))
-    rows = rows.repartition(min(len(begins) + 1, 4000), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("payload").isNotNull(), "url", "payload")
+
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(begins, ids.to_numpy(), side="right").astype(np.int32))
+
+    rows = rows.withColumn("shard", shard_of(F.coalesce("page_id", F.lit(FIRST))))
+    # A task a shard: shard numbers are partition numbers, not hashed to them.
+    rows = rows.repartitionById(len(begins) + 1, F.col("shard"))
+    rows = rows.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("payload").isNotNull(), "url", "payload")
     attempt = uuid.uuid4().hex
 
     def write(batches):
@@ -135,9 +177,9 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
             if not state:
                 return
             state["file"].close()
-            name = f"{root}/part-{state['shard']:06d}-{state['seq']:04d}.warc.gz"
-            disk.move(state["temp"], name)
-            out.append((name, state["shard"], state["records"], state["bytes"], state["sha1"].hexdigest()))
+            name = f"part-{state['shard']:06d}-{state['seq']:04d}.warc.gz"
+            disk.move(state["temp"], f"{root}/{name}")
+            out.append((f"{path}/{name}", state["shard"], state["records"], state["bytes"], state["sha1"].hexdigest()))
 
         def start(shard: int, seq: int):
             close()
@@ -166,7 +208,9 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in _MANIFEST.split(", ")])
 
-    return written(rows.select("page_id", "url", "payload", "refers", "shard").mapInArrow(write, _MANIFEST), "manifest")
+    manifest = written(rows.select("page_id", "url", "payload", "refers", "shard").mapInArrow(write, _MANIFEST), "manifest")
+    _publish(manifest, path, attempt)
+    return manifest
 
 
 def _records(stream, size: int = 1 << 20):
@@ -191,7 +235,7 @@ _READ = "page_id long, url string, record_type string, payload_bytes long, paylo
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the files that the manifest lists; digests of responses are checked."""
-    files = manifest.select("path").repartition(max(1, min(manifest.count(), 4000)), "path")
+    files = manifest.select("path").repartition(max(1, manifest.count()), "path")
 
     def run(batches):
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
