@@ -271,8 +271,17 @@ def dropped_lines(rows: DataFrame) -> DataFrame:
     return lost.groupBy("row").agg(F.array_sort(F.collect_list("line")).alias("drop"))
 
 
+def count_names(columns: list[str]) -> tuple[str, str]:
+    """Names of the two counts that ``drop_templates`` adds, unlike all of ``columns``."""
+    names = ["__n_lines", "__n_dropped"]
+    while {n.lower() for n in names} & {c.lower() for c in columns}:
+        names = [f"{n}_" for n in names]
+    return names[0], names[1]
+
+
 def drop_templates(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with ``text`` without its dropped lines, and n_lines, n_dropped."""
+    """All columns of ``docs`` with ``text`` without its dropped lines, and the counts of ``count_names``."""
+    n_lines, n_dropped = count_names(docs.columns)
     columns = docs.columns
     small_batches(docs.sparkSession)
     # Rows are numbered once: copies of a row are told apart by it.
@@ -285,18 +294,19 @@ def drop_templates(docs: DataFrame) -> DataFrame:
     joined = joined.withColumn("new", F.when(F.col("drop").isNull(), text).otherwise(left))
     return joined.select(
         *(F.col("new" if c == "text" else f"r.`{c}`").alias(c) for c in columns),
-        F.coalesce(F.size("ls"), F.lit(0)).cast("long").alias("__n_lines"),
-        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("__n_dropped"),
+        F.coalesce(F.size("ls"), F.lit(0)).cast("long").alias(n_lines),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias(n_dropped),
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without recurring lines; those of which nothing but blanks is left go."""
-    out = drop_templates(docs).where("__n_dropped = 0 or trim(text) <> ''")
+    _, gone = count_names(docs.columns)
+    out = drop_templates(docs).where((F.col(gone) == 0) | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
