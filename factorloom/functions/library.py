@@ -234,8 +234,30 @@ def _z(x, w):
     return ieee_div(x - F.avg(x).over(w), F.stddev_samp(x).over(w))
 
 
+#: Longest window of a length that changes from row to row.
+LONGEST = 250
+
+
+def _moments(x, p) -> tuple[Column, Column]:
+    """Mean and deviation of the last ``p`` rows; ``p`` may be a column, then it is cut to 1 .. LONGEST."""
+    if not isinstance(p, Column):
+        return F.avg(x).over(rows(p)), F.stddev_samp(x).over(rows(p))
+    n = F.least(F.greatest(F.floor(p), F.lit(1)), F.lit(LONGEST)).cast("int")
+    got = _list(x, LONGEST)
+    tail = F.filter(F.slice(got, F.greatest(F.size(got) - n + 1, F.lit(1)), n), lambda v: v.isNotNull())
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    mean = F.when(F.size(tail) > 0, total(tail) / F.size(tail))
+    square = total(F.transform(tail, lambda v: (v - mean) * (v - mean)))
+    known = n.isNotNull()
+    return F.when(known, mean), F.when(known & (F.size(tail) > 1), F.sqrt(square / (F.size(tail) - 1)))
+
+
 def _band(sign):
-    return lambda x, p=20: F.avg(x).over(rows(p)) + sign * F.stddev_samp(x).over(rows(p))
+    def apply(x, p=20):
+        mean, sd = _moments(x, p)
+        return mean + sign * sd if sign else mean
+
+    return apply
 
 
 def _bool_sum(x, p):
@@ -293,7 +315,7 @@ WINDOWED = {
     "REGSLOPE": lambda y, x, p: F.regr_slope(y, x).over(rows(p)),
     "REGR2": lambda y, x, p: F.regr_r2(y, x).over(rows(p)),
     "REGREST": lambda y, x, p: y - (F.regr_slope(y, x).over(rows(p)) * x + F.regr_intercept(y, x).over(rows(p))),
-    "BB_MIDDLE": lambda x, p=20: F.avg(x).over(rows(p)),
+    "BB_MIDDLE": _band(0),
     "BB_UPPER": _band(1),
     "BB_LOWER": _band(-1),
 }

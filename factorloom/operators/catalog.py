@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from factorloom.operators import analytics, costs, factor_queries, graphs, portfolio, runs, trees
+from factorloom.operators import analytics, costs, factor_queries, graphs, plugins, portfolio, runs, trees
 from factorloom.sources import stores
 from factorloom.streaming import events
 
-MODULES = (factor_queries, analytics, runs, costs, portfolio, trees, graphs, stores, events)
+MODULES = (factor_queries, analytics, runs, costs, portfolio, trees, graphs, stores, events, plugins)
 
 
 def queries() -> dict:

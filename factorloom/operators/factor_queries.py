@@ -109,6 +109,14 @@ def _family_sql(name: str, p: int) -> str:
     })[name]
 
 
+#: A window length that changes from row to row.
+_SPAN = "MIN(FLOOR($volume / 20) + 1, 12)"
+
+
+def _moving(f: str) -> str:
+    return "case w " + " ".join(f"when {k} then {f}(close) {_w(k)}" for k in range(1, 13)) + " end"
+
+
 _SHAPES = {"MID": "(close - open)", "UP": "(high - greatest(open, close))", "LOW": "(least(open, close) - low)", "SFT": "(2 * close - high - low)"}
 
 
@@ -198,8 +206,12 @@ _F: dict[str, tuple[dict[str, str], str | None]] = {
               "e": f"case when rn >= 6 then z - (regr_slope(z, rn) {_w(6)} * rn + regr_intercept(z, rn) {_w(6)}) end"}),
     ),
     "bollinger": (
-        {"m": "BB_MIDDLE($z, 10)", "u": "BB_UPPER($z, 10)", "l": "BB_LOWER($z, 10)"},
-        _sql({"m": f"avg(z) {_w(10)}", "u": f"avg(z) {_w(10)} + stddev_samp(z) {_w(10)}", "l": f"avg(z) {_w(10)} - stddev_samp(z) {_w(10)}"}),
+        {"m": "BB_MIDDLE($close, 10)", "u": "BB_UPPER($close, 10)", "l": "BB_LOWER($close, 10)"},
+        _sql({"m": f"avg(close) {_w(10)}", "u": f"avg(close) {_w(10)} + stddev_samp(close) {_w(10)}", "l": f"avg(close) {_w(10)} - stddev_samp(close) {_w(10)}"}),
+    ),
+    "bollinger_dynamic": (
+        {"m": f"BB_MIDDLE($close, {_SPAN})", "u": f"BB_UPPER($close, {_SPAN})"},
+        _sql({"m": _moving("avg"), "u": f"{_moving('avg')} + {_moving('stddev_samp')}"}, "g", ", g as (select *, least(floor(volume / 20) + 1, 12)::int as w from r)"),
     ),
     "ew_math": (
         {"e": "EXP(-$z)", "s": "SQRT($x - 2)", "l": "LOG($y)", "i": "INV($x)", "p": "POW($z, 2)", "f": "FLOOR($y)", "g": "SIGN($x - 2)", "a": "ABS($x - 2)"},

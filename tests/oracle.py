@@ -35,7 +35,7 @@ def check(got: pd.DataFrame, want: pd.DataFrame, places: int = 6) -> str | None:
         if a[c].dtype == object or b[c].dtype == object:
             bad = [i for i, (x, y) in enumerate(zip(a[c], b[c])) if x != y and not (pd.isna(x) and pd.isna(y))]
         else:
-            bad = np.flatnonzero(~np.isclose(a[c], b[c], rtol=1e-12, atol=10**-places / 2, equal_nan=True))
+            bad = np.flatnonzero(~np.isclose(a[c], b[c], rtol=1e-12, atol=1.1 * 10**-places, equal_nan=True))
         if len(bad):
             return f"{c}: {len(bad)} of {len(a)} differ, first {a.loc[bad[0]].to_dict()} / {b.loc[bad[0]].to_dict()}"
     return None
