@@ -70,7 +70,7 @@ TOKEN_BITS = 48
 #: Bits by which frequencies are counted (a clash only raises a frequency).
 COUNT_BITS = 40
 #: Rounds in which components that meet are tried by some of their members at each shingle, and how many at most.
-ROUNDS, REPS = 5, 16
+ROUNDS, REPS = 3, 16
 #: Global orders: by rarity, and two by hashes.
 ORDERS = (0, 1, 2)
 
@@ -464,7 +464,7 @@ def _component_pairs(rest: DataFrame, percent: int, round_: int) -> DataFrame:
     A shingle's members are combined by slot and then by component, before and after the shuffle, so that
     the members of a large component meet no task whole.
     """
-    slots = min(4**round_, REPS)
+    slots = REPS if round_ else 1
     mark = F.xxhash64("v", F.lit(round_))
     least = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"), *(F.bit_or(c).alias(c) for c in _SIGNS)]
     rows = rest.withColumnsRenamed({"n": "lo"}).withColumns({"hi": F.col("lo"), "slot": F.pmod(mark, F.lit(slots))})
