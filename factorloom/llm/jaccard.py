@@ -426,15 +426,26 @@ def class_links(docs: DataFrame, total: int, percent: int = PERCENT) -> tuple[Da
         if not new.head(1):
             break
         found = found.unionByName(new)
-        merged = connected(new.join(tests, ["a", "b"]).select(F.col("root_l").alias("a"), F.col("root_r").alias("b")))
-        merged = written(merged.select(F.col("node").alias("root"), F.col("root").alias("new")), "merged")
-        rest = written(_apart(rest.join(merged, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")), "rest")
+        rest = written(_apart(_hooked(rest, new.join(tests, ["a", "b"]).select("root_l", "root_r"))), "rest")
     else:
         met = written(_component_pairs(rest, percent, ROUNDS), "met")
     far = written(_verified(_across(rest, met, profiles, percent), profiles, percent), "far")
     return found.unionByName(far), parts, found is links and not far.head(1)
 
 
+def _hooked(rest: DataFrame, linked: DataFrame) -> DataFrame:
+    """Postings whose components took the name of the least one linked with them, or of that one's least.
+
+    Names need not be whole components: what is linked and named apart is tried again, and components
+    are found from all links in the end.
+    """
+    both = linked.unionByName(linked.select(F.col("root_r").alias("root_l"), F.col("root_l").alias("root_r")))
+    hook = written(both.groupBy(F.col("root_l").alias("root")).agg(F.min("root_r").alias("to")).select("root", F.least("root", "to").alias("to")), "hook")
+    jump = hook.join(hook.select(F.col("root").alias("to"), F.col("to").alias("on")), "to", "left")
+    jump = jump.select("root", F.coalesce("on", "to").alias("new"))
+    return rest.join(jump, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+
+
 def _apart(placed: DataFrame) -> DataFrame:
     """The postings (token, v, n, rest, signatures, root) at shingles where components meet."""
     mark = F.xxhash64("root")
@@ -466,13 +477,13 @@ def _component_pairs(rest: DataFrame, percent: int, round_: int) -> DataFrame:
     """
     slots = REPS if round_ else 1
     mark = F.xxhash64("v", F.lit(round_))
-    least = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"), *(F.bit_or(c).alias(c) for c in _SIGNS)]
-    rows = rest.withColumnsRenamed({"n": "lo"}).withColumns({"hi": F.col("lo"), "slot": F.pmod(mark, F.lit(slots))})
+    least = [F.sum("m").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"), *(F.bit_or(c).alias(c) for c in _SIGNS)]
+    rows = rest.withColumnsRenamed({"n": "lo"}).withColumns({"hi": F.col("lo"), "m": F.lit(1), "slot": F.pmod(mark, F.lit(slots))})
     slotted = rows.groupBy("token", "root", "slot").agg(*least, F.min_by("v", mark).alias("rep"))
     gathered = written(slotted.groupBy("token", "root").agg(*least, F.array_sort(F.collect_list("rep")).alias("reps")), "gathered")
-    left, right = (gathered.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ["reps", *_PARTS])) for s in "lr")
+    left, right = (gathered.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ["reps", "m", *_PARTS])) for s in "lr")
     met = left.join(right, "token").where(F.expr(f"root_l < root_r and {_may_share(percent, _SIGNS)}"))
-    return met.select("token", "root_l", "root_r", "reps_l", "reps_r")
+    return met.select("token", "root_l", "root_r", "reps_l", "reps_r", (F.col("m_l") <= F.col("m_r")).alias("left_is_less"))
 
 
 def _tests(met: DataFrame) -> DataFrame:
@@ -506,7 +517,10 @@ def _across(rest: DataFrame, met: DataFrame, profiles: DataFrame, percent: int)
     slack = 1 - percent / 100 + 1e-9
     close = apart.where(F.col("apart") <= F.col("gap_a") + F.col("gap_b") + slack)
     close = close.select(F.col("a").alias("root_l"), F.col("b").alias("root_r"), "apart")
-    close = written(met.select("token", "root_l", "root_r").join(close, ["root_l", "root_r"]), "close")
+    close = met.select("token", "root_l", "root_r", "left_is_less").join(close, ["root_l", "root_r"])
+    # The component with fewer members at the shingle is looked up first.
+    less, more = (F.when(F.col("left_is_less") == k, F.col("root_l")).otherwise(F.col("root_r")) for k in (True, False))
+    close = written(close.select("token", less.alias("root_l"), more.alias("root_r"), "apart"), "close")
 
     # Members of the components left, where those meet at a shingle.
     each = rest.join(members, ["v", "root"]).withColumnsRenamed({"n": "lo"}).withColumn("hi", F.col("lo"))
