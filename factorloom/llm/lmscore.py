@@ -1,16 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter of bigram counts.
 
-Counting: tasks send sorted, delta-coded hashes of the training tokens and bigrams, with
-partial counts, to ranges of the hash space.  Tokens keep exact counts.  The bigrams of a
-range go into a Bloom filter of its own: one of quantised count q (1 + floor(log2 c)) is
-entered at levels 1..q.  A reader probes level after level until one is absent.
+Documents are put into blocks, rows of the shared folder.  A task sends the sorted, delta-coded
+hashes of a block's distinct tokens and bigrams, with their counts in its training rows, to
+ranges of the hash space.  Tokens keep exact counts.  The bigrams of a range go into a
+Bloom filter of its own: one of quantised count q (1 + floor(log2 c)) is entered at levels
+1..q.  A reader probes level after level until one is absent.  The range answers each
+block in the order of the block's hashes, and a block meets its answers in one task, which
+hashes its texts again: each table is held by one task, and the driver gets two sums.
 
 Smoothing: p(w | h) = (c(h w) + MU p(w)) / (c(h) + MU), p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
 
-Tables of both kinds grow with the corpus.  They are broadcast in blocks of ranges of at
-most ``BLOCK_BYTES``; with more than one block, documents are read once per block, and
-the counts found are kept with each document in the shared folder in between.
-
 Defined results: a null or empty text is the end token alone; equal texts have equal
 scores; without training rows all counts are 0; an empty table gives no rows.
 """
@@ -18,11 +17,13 @@ scores; without training rows all counts are 0; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import SPACE_SEPARATORS, binary_columns, chunks, lower_ascii, mix64, only, read_table, small_batches, word_hashes, word_spans, written
@@ -35,10 +36,8 @@ ENTRY_BITS = 7.3
 MAX_LEVEL = 40
 #: Tokens or bigrams of one hash range, about.
 RANGE_ENTRIES = 2_000_000
-#: Tokens a counting task holds before it sends.
-HOLD_TOKENS = 2_000_000
-#: Bytes of tables that one broadcast may hold.
-BLOCK_BYTES = 192 << 20
+#: Bytes of the texts of one block; a longer text is a block by itself.
+BLOCK_BYTES = 12 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -77,40 +76,93 @@ def _filter(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def count_tables(docs: DataFrame, bits: int) -> DataFrame:
-    """kind (0 tokens, 1 bigrams), bucket, keys, counts (tokens) or filter (bigrams), entries, total."""
+def _levels(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Greatest level up to which every probe of a range's filter is found."""
+    out = np.zeros(len(h), np.uint8)
+    live = np.arange(len(h))
+    for q in range(1, MAX_LEVEL + 1):
+        if not len(live):
+            break
+        ok = np.ones(len(live), bool)
+        for at in _positions(h[live], q, 8 * len(bits)):
+            at = at.astype(np.int64)
+            ok &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        live = live[ok]
+        out[live] = q
+    return out
 
-    def send(batches):
-        held: list[list[np.ndarray]] = [[], []]
-        n = 0
+
+def _blocks(rows: DataFrame, limit: int) -> DataFrame:
+    """block, wanted (by any row), rows: those of a block (head, text, learn, wanted), as an Arrow stream."""
+
+    def gather(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
 
         def flush():
-            cols: list[list] = [[], [], [], []]
-            for kind in (0, 1):
-                every, count = np.unique(np.concatenate(held[kind]) if held[kind] else np.zeros(0, np.uint64), return_counts=True)
-                edges = np.append(np.searchsorted(every, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)), len(every))
-                for k in np.flatnonzero(np.diff(edges)):
-                    part = slice(edges[k], edges[k + 1])
-                    for c, v in zip(cols, (kind, int(k), _pack(every[part]), _planes(count[part], 5)), strict=True):
-                        c.append(v)
-                held[kind] = []
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "bucket", "keys", "counts"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            wanted = any(any(part.column(part.schema.get_field_index("wanted")).to_pylist()) for part in held)
+            values = (uuid.uuid4().int >> 65, wanted, sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["block", "wanted", "rows"])
 
         for b in batches:
-            for _, _, tokens, _ in _tokens(*binary_columns(b, "text")):
-                held[0].append(tokens)
-                held[1].append(_bigrams(tokens))
-                n += len(tokens)
-                if n >= HOLD_TOKENS:
+            offsets = binary_columns(b, "text")[1]
+            for lo, hi in chunks(offsets, limit):
+                n = int(offsets[hi] - offsets[lo])
+                if held and size + n > limit:
                     yield flush()
-                    n = 0
-        if n:
+                    held, size = [], 0
+                held.append(b.slice(lo, hi - lo))
+                size += n
+        if held:
             yield flush()
 
-    def gather(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return rows.mapInArrow(gather, "block long, wanted boolean, rows binary")
+
+
+def _opened(blob: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a block, hashes of their tokens and of the bigrams, ends of the texts among them."""
+    table = pa.ipc.open_stream(blob).read_all().combine_chunks()
+    rows = table.to_batches()[0]
+    tokens, bigrams, ends, n = [], [], [], 0
+    for _, _, t, e in _tokens(*binary_columns(rows, "text")):
+        tokens.append(t)
+        bigrams.append(_bigrams(t))
+        ends.append(e + n)
+        n += len(t)
+    return rows, np.concatenate(tokens), np.concatenate(bigrams), np.concatenate(ends)
+
+
+def _answered(blocks: DataFrame, bits: int) -> DataFrame:
+    """kind (0 tokens, 1 bigrams), bucket, block, answer: counts (tokens) or levels (bigrams) of a block's distinct
+    hashes in a range, in their order; and a row per range without a block, with its distinct and all entries."""
+
+    def send(batches):
+        for b in batches:
+            for block, wanted, blob in zip(*(b.column(b.schema.get_field_index(x)) for x in ("block", "wanted", "rows")), strict=True):
+                rows, tokens, bigrams, ends = _opened(blob.as_py())
+                learn = np.repeat(rows.column(rows.schema.get_field_index("learn")).to_numpy(zero_copy_only=False).astype(bool), np.diff(ends, prepend=0))
+                cols: list[list] = [[], [], [], [], []]
+                for kind, hashes in enumerate((tokens, bigrams)):
+                    every, back = np.unique(hashes, return_inverse=True)
+                    count = np.bincount(back[learn], minlength=len(every))
+                    starts = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
+                    edges = np.concatenate(([0], np.searchsorted(every, starts), [len(every)]))
+                    for k in np.flatnonzero(np.diff(edges)):
+                        part = slice(edges[k], edges[k + 1])
+                        for c, v in zip(cols, (kind, int(k), block.as_py() if wanted.as_py() else None, _pack(every[part]), _planes(count[part], 5)), strict=True):
+                            c.append(v)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "bucket", "block", "keys", "counts"])
+
+    def reply(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, bucket = key[0].as_py(), key[1].as_py()
         have, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         keys, counts, held = [], [], 0
+        asked: list[tuple[int, bytes]] = []
 
         def fold():
             nonlocal have, total, keys, counts, held
@@ -121,64 +173,44 @@ def count_tables(docs: DataFrame, bits: int) -> DataFrame:
             have, total = every[first], np.add.reduceat(n, first) if len(first) else n
             keys, counts, held = [], [], 0
 
+        def out(blocks, answers, entries=None, n=None):
+            cols = ([kind] * len(blocks), [bucket] * len(blocks), blocks, answers, [entries] * len(blocks), [n] * len(blocks))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "bucket", "block", "answer", "entries", "total"])
+
         for b in batches:
-            for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                keys.append(_unpack(k))
-                counts.append(_unplanes(c, 5).astype(np.int64))
+            for block, k, c in zip(*(b.column(b.schema.get_field_index(x)).to_pylist() for x in ("block", "keys", "counts")), strict=True):
+                if block is not None:
+                    asked.append((block, k))
+                n = _unplanes(c, 5).astype(np.int64)
+                keys.append(_unpack(k)[n > 0])
+                counts.append(n[n > 0])
                 held += len(keys[-1])
                 if held > 4 * RANGE_ENTRIES:
                     fold()
         fold()
-        kind = key[0].as_py()
-        row = (kind, key[1].as_py(), have.tobytes() if kind == 0 else b"", total.astype("<i8").tobytes() if kind == 0 else _filter(have, total).tobytes(), len(have), int(total.sum()))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["kind", "bucket", "keys", "data", "entries", "total"])
-
-    sent = docs.mapInArrow(send, "kind long, bucket long, keys binary, counts binary")
-    return sent.groupBy("kind", "bucket").applyInArrow(gather, "kind long, bucket long, keys binary, data binary, entries long, total long")
-
-
-class Block:
-    """The tables of some hash ranges."""
-
-    def __init__(self, rows, bits: int):
-        self.shift = bits
-        tokens = sorted((r for r in rows if r.kind == 0), key=lambda r: r.bucket)
-        self.keys = np.concatenate([np.frombuffer(r.keys, np.uint64) for r in tokens] or [np.zeros(0, np.uint64)])
-        self.counts = np.concatenate([np.frombuffer(r.data, np.int64) for r in tokens] or [np.zeros(0, np.int64)])
-        self.size = np.zeros(1 << bits, np.int64)
-        self.start = np.zeros(1 << bits, np.int64)
-        parts, at = [], 0
-        for r in rows:
-            if r.kind == 1:
-                parts.append(np.frombuffer(r.data, np.uint8))
-                self.size[r.bucket], self.start[r.bucket] = 8 * len(parts[-1]), at
-                at += 8 * len(parts[-1])
-        self.bits = np.concatenate(parts or [np.zeros(0, np.uint8)])
-
-    def count(self, tokens: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(tokens), np.int64)
-        some, back = np.unique(tokens, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
-        return np.where(self.keys[at] == some, self.counts[at], 0)[back]
-
-    def level(self, h: np.ndarray) -> np.ndarray:
-        """Greatest level up to which every probe is found."""
-        out = np.zeros(len(h), np.uint8)
-        bucket = (h >> np.uint64(64 - self.shift)).astype(np.int64) if self.shift else np.zeros(len(h), np.int64)
-        live = np.flatnonzero(self.size[bucket])
-        for q in range(1, MAX_LEVEL + 1):
-            if not len(live):
-                break
-            size, start = self.size[bucket[live]], self.start[bucket[live]]
-            ok = np.ones(len(live), bool)
-            for at in _positions(h[live], q, size):
-                at = at.astype(np.int64) + start
-                ok &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            live = live[ok]
-            out[live] = q
-        return out
+        yield out([None], [None], len(have), int(total.sum()))
+        if kind:
+            filter_bits = _filter(have, total)
+            have = total = np.zeros(0, np.int64)
+        while asked:
+            # Many small questions are looked up together.
+            some, n = [], 0
+            while asked and n < RANGE_ENTRIES:
+                block, k = asked.pop()
+                some.append((block, _unpack(k)))
+                n += len(some[-1][1])
+            h = np.concatenate([x for _, x in some])
+            if kind:
+                found = _levels(filter_bits, h)
+            else:
+                at = np.minimum(np.searchsorted(have, h), max(0, len(have) - 1))
+                found = np.where(have[at] == h, total[at], 0) if len(have) else np.zeros(len(h), np.int64)
+            parts = np.split(found, np.cumsum([len(x) for _, x in some])[:-1])
+            yield out([block for block, _ in some], [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) if kind else _planes(x) for x in parts])
+
+    sent = blocks.mapInArrow(send, "kind long, bucket long, block long, keys binary, counts binary")
+    return sent.groupBy("kind", "bucket").applyInArrow(reply, "kind long, bucket long, block long, answer binary, entries long, total long")
 
 
 def _expected(levels: np.ndarray) -> np.ndarray:
@@ -186,72 +218,53 @@ def _expected(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, 0.75 * 2.0**levels - 0.5, 0.0)
 
 
-def score(docs: DataFrame, training: DataFrame, mu: float = MU) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text) but text, and n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, size / 6 / RANGE_ENTRIES))))
-    tables = written(count_tables(training, bits), "counts")
-    sizes = tables.select("kind", "bucket", "entries", "total", F.octet_length("keys").alias("a"), F.octet_length("data").alias("b")).collect()
-    N = sum(r.total for r in sizes if r.kind == 0)
-    V = sum(r.entries for r in sizes if r.kind == 0)
-    groups: list[list] = [[]]
-    held = 0
-    for r in sorted(sizes):
-        if held + r.a + r.b > BLOCK_BYTES and groups[-1]:
-            groups.append([])
-            held = 0
-        held += r.a + r.b
-        groups[-1].append((r.kind, r.bucket))
-    state = docs.withColumn("c", F.lit(None).cast("binary")).withColumn("q", F.lit(None).cast("binary"))
+def score(docs: DataFrame, training: DataFrame | Column, mu: float = MU) -> DataFrame:
+    """All columns of ``docs`` (doc_id, text) but text, and n_tokens, n_known, train_tokens, base_score, score.
+
+    ``training`` has the texts to learn from, or is a condition on the rows of ``docs``.
+    """
+    small_batches(docs.sparkSession)
     names = [f for f in docs.columns if f != "text"]
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    others = F.struct(*(F.col(f"`{f}`") for f in names)).alias("head")
+    if isinstance(training, Column):
+        rows = docs.select(others, "text", F.coalesce(training, F.lit(False)).alias("learn"), F.lit(True).alias("wanted"))
+    else:
+        rows = docs.select(others, "text", F.lit(False).alias("learn"), F.lit(True).alias("wanted"))
+        rows = rows.unionByName(training.select(F.lit(None).cast(rows.schema["head"].dataType).alias("head"), "text", F.lit(True).alias("learn"), F.lit(False).alias("wanted")))
+    size = rows.agg(F.sum(F.when(F.col("learn"), F.octet_length("text"))), F.sum(F.octet_length("text"))).first()
+    # By what is learnt; a range answers for at most about twice as many entries, however much is asked.
+    bits = max(0, *(math.ceil(math.log2(max(1, (x or 0) / 6 / n))) for x, n in zip(size, (RANGE_ENTRIES, 2 * RANGE_ENTRIES), strict=True)))
+    blocks = written(_blocks(rows, BLOCK_BYTES), "blocks")
+    answers = written(_answered(blocks, bits), "answers")
+    found = answers.where("block is null and kind = 0").agg(F.sum("total"), F.sum("entries")).first()
+    N, V = found[0] or 0, found[1] or 0
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, tokens, bigrams, ends = _opened(left.column("rows")[0].as_py())
+        parts: list[list] = [[], []]
+        for kind, bucket, answer in zip(*(right.column(x).to_pylist() for x in ("kind", "bucket", "answer")), strict=True):
+            parts[kind].append((bucket, answer))
+        counts, levels = (sorted(p, key=lambda x: x[0]) for p in parts)
+        c = np.concatenate([_unplanes(x) for _, x in counts]).astype(np.int64)[np.unique(tokens, return_inverse=True)[1]]
+        q = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for _, x in levels])[np.unique(bigrams, return_inverse=True)[1]]
+        p = (c + 0.5) / (N + 0.5 * (V + 1))
+        first = np.concatenate(([0], ends[:-1]))
+        # The context of a text's first token is an end; if any end was counted, one ended each text.
+        context = np.concatenate(([0], c[:-1]))
+        context[first] = c[ends - 1]
+        together = np.minimum(np.minimum(_expected(q), c), context)
+        known = np.add.reduceat((c > 0).astype(np.int64), first)
+        base = np.add.reduceat(np.log10(p), first)
+        full = np.add.reduceat(np.log10((together + mu * p) / (context + mu)), first)
+        more = [pa.array(np.diff(ends, prepend=0)), pa.array(known), pa.array(np.full(len(ends), N, np.int64)), pa.array(base), pa.array(full)]
+        head = rows.column(rows.schema.get_field_index("head"))
+        done = pa.table([*head.flatten(), *more], names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return done.filter(rows.column(rows.schema.get_field_index("wanted")))
 
-    def probing(block, last: bool):
-        def run(batches):
-            for b in batches:
-                cs, qs = (b.column(b.schema.get_field_index(x)).to_pylist() for x in "cq")
-                nt, nk, base, full = [], [], [], []
-                for lo, hi, tokens, ends in _tokens(*binary_columns(b, "text")):
-                    c, q = block.value.count(tokens), block.value.level(_bigrams(tokens))
-                    if cs[lo] is not None:
-                        c = c + np.frombuffer(b"".join(cs[lo:hi]), np.int64)
-                        q = np.maximum(q, np.frombuffer(b"".join(qs[lo:hi]), np.uint8))
-                    if not last:
-                        for i, (x, y) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
-                            cs[lo + i], qs[lo + i] = c[x:y].tobytes(), q[x:y].tobytes()
-                        continue
-                    p = (c + 0.5) / (N + 0.5 * (V + 1))
-                    first = np.concatenate(([0], ends[:-1]))
-                    # The context of a text's first token is an end; if any end was counted, one ended each text.
-                    context = np.concatenate(([0], c[:-1]))
-                    context[first] = c[ends - 1]
-                    together = np.minimum(np.minimum(_expected(q), c), context)
-                    nt += np.diff(ends, prepend=0).tolist()
-                    nk += np.add.reduceat((c > 0).astype(np.int64), first).tolist()
-                    base += np.add.reduceat(np.log10(p), first).tolist()
-                    full += np.add.reduceat(np.log10((together + mu * p) / (context + mu)), first).tolist()
-                keep = [b.column(b.schema.get_field_index(n)) for n in names]
-                if last:
-                    more = [pa.array(nt, pa.int64()), pa.array(nk, pa.int64()), pa.array([N] * len(nt), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64())]
-                    yield pa.RecordBatch.from_arrays(keep + more, names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-                else:
-                    text = b.column(b.schema.get_field_index("text"))
-                    yield pa.RecordBatch.from_arrays([*keep, text, pa.array(cs, pa.binary()), pa.array(qs, pa.binary())], names=[*names, "text", "c", "q"])
-
-        return run
-
-    for i, group in enumerate(groups):
-        wanted = spark.createDataFrame(group or [(-1, -1)], "kind long, bucket long")
-        rows = tables.join(F.broadcast(wanted), ["kind", "bucket"], "left_semi").collect()
-        block = spark.sparkContext.broadcast(Block(rows, bits))
-        last = i == len(groups) - 1
-        shape = f"{head}, n_tokens long, n_known long, train_tokens long, base_score double, score double" if last else f"{head}, text string, c binary, q binary"
-        state = state.select(*names, "text", "c", "q").mapInArrow(probing(block, last), shape)
-        if not last:
-            state = written(state, "probed")
-    return state
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    shape = f"{head}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    asked = answers.where("block is not null").select("kind", "bucket", "block", "answer")
+    return blocks.where("wanted").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(finish, shape)
 
 
 def held_out():
@@ -260,4 +273,4 @@ def held_out():
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
     docs = only(read_table(spark, sf_dir, "documents"), doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    return score(docs, docs.where(~held_out()).select("text")).withColumn("held_out", held_out())
+    return score(docs, ~held_out()).withColumn("held_out", held_out())
