@@ -92,6 +92,14 @@ def _levels(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _stream(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for b in batches:
+            out.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
 def _blocks(rows: DataFrame, limit: int) -> DataFrame:
     """block, wanted (by any row), rows: those of a block (head, text, learn, wanted), as an Arrow stream."""
 
@@ -100,12 +108,8 @@ def _blocks(rows: DataFrame, limit: int) -> DataFrame:
         size = 0
 
         def flush():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for part in held:
-                    out.write_batch(part)
             wanted = any(any(part.column(part.schema.get_field_index("wanted")).to_pylist()) for part in held)
-            values = (uuid.uuid4().int >> 65, wanted, sink.getvalue().to_pybytes())
+            values = (uuid.uuid4().int >> 65, wanted, _stream(held))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["block", "wanted", "rows"])
 
         for b in batches:
@@ -258,13 +262,19 @@ def score(docs: DataFrame, training: DataFrame | Column, mu: float = MU) -> Data
         full = np.add.reduceat(np.log10((together + mu * p) / (context + mu)), first)
         more = [pa.array(np.diff(ends, prepend=0)), pa.array(known), pa.array(np.full(len(ends), N, np.int64)), pa.array(base), pa.array(full)]
         head = rows.column(rows.schema.get_field_index("head"))
-        done = pa.table([*head.flatten(), *more], names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        return done.filter(rows.column(rows.schema.get_field_index("wanted")))
+        done = pa.RecordBatch.from_arrays([*head.flatten(), *more], names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table({"rows": pa.array([_stream([done.filter(rows.column(rows.schema.get_field_index("wanted")))])], pa.binary())})
+
+    def unpacked(batches):
+        # Not by ``finish`` itself: Spark holds its types, time zones of columns too, to the letter.
+        for b in batches:
+            for blob in b.column(0):
+                yield from pa.ipc.open_stream(blob.as_py())
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     shape = f"{head}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     asked = answers.where("block is not null").select("kind", "bucket", "block", "answer")
-    return blocks.where("wanted").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(finish, shape)
+    return blocks.where("wanted").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(finish, "rows binary").mapInArrow(unpacked, shape)
 
 
 def held_out():

@@ -59,3 +59,14 @@ def test_the_driver_holds_no_table(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "RANGE_ENTRIES", 20)
     lmscore.score(docs, docs.select("text"))
     assert all(len(rows) == 1 and not isinstance(x, bytes | bytearray) for rows in sent for row in rows for x in row)
+
+
+def test_columns_of_any_type_and_name_pass_through(spark):
+    docs = spark.createDataFrame(ROWS[:9], "doc_id long, text string")
+    docs = docs.selectExpr("doc_id", "timestamp'2024-05-06 07:08:09' as at", "map('k', 2) as m", "'x' as head", "'y' as learn", "cast(null as int) as block", "text")
+    for training in (F.expr("doc_id > 3"), docs.where("doc_id > 3").select("text")):
+        got = lmscore.score(docs, training)
+        assert got.columns[:6] == ["doc_id", "at", "m", "head", "learn", "block"]
+        same = docs.select(*got.columns[:6]).withColumn("m", F.col("m")["k"]).exceptAll(got.select(*got.columns[:6]).withColumn("m", F.col("m")["k"]))
+        assert got.count() == 9 and same.count() == 0
+    assert lmscore.score(docs.where("false"), F.lit(True)).count() == 0
