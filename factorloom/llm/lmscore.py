@@ -37,7 +37,7 @@ MAX_LEVEL = 40
 #: Tokens or bigrams of one hash range, about.
 RANGE_ENTRIES = 2_000_000
 #: Bytes of the texts of one block; a longer text is a block by itself.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -200,7 +200,7 @@ def _answered(blocks: DataFrame, bits: int) -> DataFrame:
         while asked:
             # Many small questions are looked up together.
             some, n = [], 0
-            while asked and n < RANGE_ENTRIES:
+            while asked and n < RANGE_ENTRIES // 4:
                 block, k = asked.pop()
                 some.append((block, _unpack(k)))
                 n += len(some[-1][1])
@@ -274,7 +274,9 @@ def score(docs: DataFrame, training: DataFrame | Column, mu: float = MU) -> Data
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     shape = f"{head}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     asked = answers.where("block is not null").select("kind", "bucket", "block", "answer")
-    return blocks.where("wanted").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(finish, "rows binary").mapInArrow(unpacked, shape)
+    scored = blocks.where("wanted").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(finish, "rows binary")
+    # Written in between, as two functions in one stage keep two Python workers a task.
+    return written(scored, "scored").mapInArrow(unpacked, shape)
 
 
 def held_out():
